@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingloom.llm import ctw, decontam, jaccard_join, packing
+from filingloom.llm import ctw, decontam, fingerprint, jaccard_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack_sequences, op4_context_tree, op8_decontaminate, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_pack_sequences, op3_fingerprint, op4_context_tree, op8_decontaminate, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
