@@ -33,15 +33,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, data, off) of at most about ``limit`` bytes of text each."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, most: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, data, off) of at most about ``limit`` bytes of text and ``most`` rows each."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         data, off = flat(batch.column(text))
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1)
+            last = min(first + most, batch.num_rows, max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1))
             yield batch.slice(first, last - first), data[off[first] : off[last]], off[first : last + 1] - off[first]
             first = last
 
