@@ -17,7 +17,11 @@ verifications and not m^2:
 1. in each block of documents with a prefix token in common, all members are
    verified against one pivot (a min aggregate, so a hot block is pre-aggregated),
 2. documents of a block that are not in one component by now are paired, counted
-   and verified. A pair inside a component can't change the result and is left out.
+   and verified. A pair inside a component can't change the result and is left out,
+   and so is one whose sets can't be similar given what their prefixes share: all
+   they share lies in both prefixes or behind the prefix that ends first. A document
+   with fewer prefix tokens in common with any other than that asks for is not even
+   paired.
 No candidate, block or partner is capped.
 
 Edge cases: a null text or one without words has an empty set, is its own
@@ -35,7 +39,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from filingloom.llm.arrowtext import NOT_SPACE, chunks, lower_ascii, mixed, window_hashes, word_bounds, word_hashes
@@ -47,8 +53,10 @@ PERCENT = 80
 MAX_MATCH = 4
 #: Rows of the table of frequent shingles; it is ordering advice, 16 bytes a row.
 FREQUENT_ROWS = 500_000
-#: Shingles that a task gathers before it counts them.
+#: Shingles that a task gathers before it counts or deals them.
 COUNT_ROWS = 2_000_000
+#: Prefix tokens of a bucket in which repeated ones are looked for.
+BUCKET_ROWS = 500_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -154,8 +162,8 @@ def prefixes(docs: DataFrame, frequent, size: int = SHINGLE, percent: int = PERC
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar.
 
-    Representatives of nodes in pairs are hashed where they lie and only their
-    sets are moved. A fixed-size Bloom filter keeps the others from the join.
+    Only the texts of representatives of nodes in pairs are moved, compressed. A
+    fixed-size Bloom filter keeps the others from the join.
     """
     spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -163,26 +171,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
     told = spark.sparkContext.broadcast(bloom(asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = told.value
+        bits, pack = told.value, zstandard.ZstdCompressor(3).compress
         for rows, sets in _sets(held_back(batches, bits, True), size):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), _nodes(sets), _lists(sets)], names=["id", "node", "grams"])
+            texts = [pack(t.encode()) for t in pc.fill_null(rows.column("text"), "").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), _nodes(sets), pa.array(texts, pa.binary())], names=["id", "node", "packed"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(scan, "id long, node long, grams array<long>")
-    held = scratch.write(sets.join(asked, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "grams"), f"{name}-sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(held.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    texts = docs.select("doc_id", "text").mapInArrow(scan, "id long, node long, packed binary")
+    held = scratch.write(texts.join(asked, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "packed"), f"{name}-texts")
+    both = pairs.join(held.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").join(held.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ga, gb = b.column("ga"), b.column("gb")
-            keep = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                x, y = ga[k].values.to_numpy(), gb[k].values.to_numpy()
+        unpack, last = zstandard.ZstdDecompressor().decompress, (None, None)
+
+        def one(raw: bytes) -> np.ndarray:
+            text = pa.array([unpack(raw).decode()])
+            return next(_sets(iter([pa.record_batch([text], names=["text"])]), size))[1][0]
+
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (a, pa_, pb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "pa", "pb")), strict=True)):
+                if last[0] != a:  # pairs of one pivot often stand together
+                    last = (a, one(pa_))
+                x, y = last[1], one(pb)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    found = scratch.write(both.select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long"), name)
-    scratch.drop(f"{name}-sets")
+    found = scratch.write(both.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long"), name)
+    scratch.drop(f"{name}-texts")
     return found
 
 
@@ -234,6 +250,27 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return whole
 
 
+def _changed(df: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """(node, comp) of a table (node, comp, before), written, and how many labels are new; the count rides on the write."""
+    seen = Observation()
+    written = scratch.write(df.observe(seen, F.count_if(F.col("comp") != F.col("before")).alias("n")).select("node", "comp"), name)
+    return written, seen.get["n"]
+
+
+def roots(parents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, comp) for a table (node, comp) in which comp is a smaller node or none: the end of each chain.
+
+    Each round halves the chains; a node that is nobody's child is its own root.
+    """
+    labels, turn, n = scratch.write(parents, f"{name}-0"), 0, 1
+    while n:
+        turn += 1
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
+        labels, n = _changed(labels.join(up, "comp", "left").select("node", F.coalesce("jump", "comp").alias("comp"), F.col("comp").alias("before")), scratch, f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
+    return labels
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for every node of links (a, b): the smallest node reachable.
 
@@ -241,24 +278,99 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     label's label, until nothing changes; only counts reach the driver.
     """
     edges = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.write(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), f"{name}-0")
-    turn = 0
-    while True:
+    labels, turn, n = scratch.write(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), f"{name}-0"), 0, 1
+    while n:
         turn += 1
         around = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         own = labels.join(around, "node").select("node", F.least("comp", "near").alias("step"), F.col("comp").alias("before"))
         up = labels.select(F.col("node").alias("step"), F.col("comp").alias("jump"))
-        new = scratch.write(own.join(up, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("comp"), "before"), f"{name}-{turn}")
+        labels, n = _changed(own.join(up, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("comp"), "before"), scratch, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        labels = new.select("node", "comp")
-        if new.filter("comp <> before").isEmpty():
-            return labels
+    return labels
 
 
 def _sizes_allow(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def _behind(n: str, l, percent: int):
+    """Tokens of a set behind its l-prefix."""
+    return F.greatest(F.ceil(F.col(n) * percent / 100 - 1e-9) - l, F.lit(0))
+
+
+def _alpha(a: str, b: str, percent: int):
+    """Fewest tokens that similar sets of two sizes share."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100.0 + percent) - 1e-9)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, highest bytes together, so that like ones compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def _repeated(reps: DataFrame, frequent, classes: DataFrame, percent: int) -> DataFrame:
+    """(tok, node, l) of the prefix tokens that two nodes or more have.
+
+    Most prefix tokens occur once. To find the others, tokens are dealt by value
+    to buckets of about BUCKET_ROWS, many to a row. Tokens of the frequent table
+    need no such look: they pass through salted buckets of their own, so a token
+    that a third of all documents share is in no single task.
+    """
+    total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 2)).first()[0] or 0
+    buckets = max(1, int(-(-total // BUCKET_ROWS)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, _ = frequent.value
+        gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            tok, node, l = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            gathered.clear()
+            bucket = ((tok >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            if len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok
+                bucket[known] = -1 - (node[known] % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((tok, bucket))
+            tok, node, l, bucket = tok[order], node[order], l[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1, append=bucket[-1] + 1))
+            ends = cut[1:]
+            rows = [(int(bucket[a]), _planes(tok[a:b]) + _planes(node[a:b]) + l[a:b].tobytes()) for a, b in zip(cut[:-1], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "held"])
+
+        size = 0
+        for b in batches:
+            lists = b.column("prefix")
+            counts = np.diff(lists.offsets.to_numpy())
+            node, l = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "l"))
+            gathered.append((lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(node.view(np.uint64), counts), np.repeat(l.astype(np.uint8), counts)))
+            size += len(gathered[-1][0])
+            if size > COUNT_ROWS:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    def several(key, table):
+        parts = []
+        for raw in table.column("held").to_pylist():
+            m = len(raw) // 17
+            parts.append((_from_planes(raw[: 8 * m]), _from_planes(raw[8 * m : 16 * m]), np.frombuffer(raw[16 * m :], np.uint8)))
+        tok, node, l = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if key[0].as_py() >= 0:
+            order = np.argsort(tok)
+            tok, node, l = tok[order], node[order], l[order]
+            same = tok[1:] == tok[:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            tok, node, l = tok[keep], node[keep], l[keep]
+        return pa.table({"tok": pa.array(tok.view(np.int64)), "node": pa.array(node.view(np.int64)), "l": pa.array(l.astype(np.int32))})
+
+    return reps.mapInArrow(deal, "bucket long, held binary").groupBy("bucket").applyInArrow(several, "tok long, node long, l int").distinct()
+
+
 def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, most: int = MAX_MATCH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
@@ -270,30 +382,46 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     order = np.argsort(toks)
     frequent = spark.sparkContext.broadcast((toks[order], top.column("seen").to_numpy()[order]))
 
-    classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     held = prefixes(docs, frequent, size, percent, most)
     reps = held.join(classes.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi")
-    reps = scratch.write(reps.select("node", "n", "l", "prefix"), "prefixes")
-
-    # 1. Every member of a block against its pivot.
-    posting = reps.select(F.explode("prefix").alias("tok"), "node", "n")
-    pivots = posting.groupBy("tok").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot <> other").select("tok", "pivot")
-    stars = scratch.write(posting.join(pivots, "tok").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    blocks = scratch.write(_repeated(reps, frequent, classes, percent), "blocks")
+    met_by = blocks.groupBy("node").agg(F.count("*").cast("int").alias("u"))  # prefix tokens that any other node has
+    posting = scratch.write(blocks.join(met_by.join(classes.select("node", "n"), "node"), "node").select("tok", "node", "n", "l", "u"), "postings")
+
+    # 1. Every member of a block against its pivot, the one with the most tokens in common with others; of several pivots, the one met most.
+    # Pivots come before their members in the order of (-u, node), so there are no cycles.
+    first = F.min_by(F.struct("node", "n"), F.struct((-F.col("u")).alias("u"), "node"))
+    pivots = posting.groupBy("tok").agg(first.alias("p")).select("tok", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    stars = posting.join(pivots, "tok").filter("node <> pivot").filter(_sizes_allow("n", "n_pivot", percent))
+    stars = stars.groupBy("node", "pivot").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("n_pivot").alias("n_pivot"))
+    likely = F.col("met") * 2 >= _alpha("n", "n_pivot", percent) - F.greatest(_behind("n", F.lit(1), percent), _behind("n_pivot", F.lit(1), percent))
+    stars = stars.filter(likely).groupBy("node").agg(F.max_by("pivot", F.struct("met", "pivot")).alias("a")).select("a", F.col("node").alias("b"))
+    stars = scratch.write(stars, "stars")
     links = _verified(docs, stars, classes, size, percent, scratch, "star-links")
-    comps = components(links, scratch, "star-comps")
-
-    # 2. Members of a block that are still apart.
-    named = reps.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = named.select(F.explode("prefix").alias("tok"), "node", "n", "l", "comp")
-    several = apart.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    apart = scratch.write(apart.join(several, "tok", "left_semi"), "apart")
-    left, right = (apart.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "comp"))) for s in "ab")
-    met = left.join(right, "tok").filter("node_a < node_b and comp_a <> comp_b").filter(_sizes_allow("n_a", "n_b", percent))
-    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("least"))
-    again = scratch.write(counted.filter("shared >= least").select("a", "b").join(stars, ["a", "b"], "left_anti"), "apart-pairs")
+    comps = roots(links.select(F.col("b").alias("node"), F.col("a").alias("comp")), scratch, "star-comps")
+
+    # 2. Members of a block that are still apart, if they share enough of their prefixes.
+    named = posting.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+    apart = scratch.write(named.join(several, "tok", "left_semi"), "apart")
+    left, right = (apart.select(F.col("tok").alias(f"tok_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "u", "comp"))) for s in "ab")
+    behind = F.greatest(_behind("n_a", F.col("l_a"), percent), _behind("n_b", F.col("l_b"), percent))
+    least = F.greatest(F.least("l_a", "l_b").cast("bigint"), _alpha("n_a", "n_b", percent) - behind)
+    could = (F.col("u_a") >= least) & (F.col("u_b") >= least) & _sizes_allow("n_a", "n_b", percent)
+    met = left.join(right, (F.col("tok_a") == F.col("tok_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & could)
+    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("least"))
+    again = counted.filter("shared >= least").select("a", "b")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    again = scratch.write(again.join(done, ["a", "b"], "left_anti"), "apart-pairs")
     if not again.isEmpty():
-        links = links.unionByName(_verified(docs, again, classes, size, percent, scratch, "apart-links"))
-        comps = components(links, scratch, "comps")
+        more = _verified(docs, again, classes, size, percent, scratch, "apart-links")
+        for end in "ab":  # the components that a link joins
+            of = comps.select(F.col("node").alias(end), F.col("comp").alias("of"))
+            more = more.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+        joined = components(more.filter("a <> b").distinct(), scratch, "comps").select(F.col("node").alias("of"), F.col("comp").alias("whole"))
+        held = classes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("of"))
+        comps = held.join(joined, "of", "left").select("node", F.coalesce("whole", "of").alias("comp"))
 
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
