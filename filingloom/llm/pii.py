@@ -5,11 +5,11 @@ Base spans of four kinds are leftmost matches of fixed patterns that pass a chec
 its check, and for forms the patterns don't cover, high-recall generators propose
 further spans: digit runs and groups inside failed card and phone matches, national
 phone numbers, addresses with a spelt-out at sign. Every candidate is described by
-its format (digits, separators, check result) and its context (neighbouring
+its format (digits, separators) and its context (neighbouring
 characters, a telling word before it). Boosted trees learn, from base matches that
 pass (positive) and fail (negative), how likely such a span is personal data; a
-candidate is added if its calibrated score reaches the threshold of its kind and it
-overlaps no base span.
+candidate is added if its calibrated score reaches the threshold of its kind, it
+passes the check of its kind and it overlaps no base span.
 
 Everything over texts is native: split() gives the gaps between matches and
 regexp_extract_all() the matches, so a running sum of their lengths is a match's
@@ -55,7 +55,7 @@ GENERATORS = ["base", *(g[0] for g in INSIDE), *(g[0] for g in OUTSIDE)]
 CUES = r"(?i)(?:mail|e-mail|correo|kontakt|contact|tel|phone|mobile|fax|call|rufnummer|t[eé]l[eé]phone|card|visa|karte|carte|tarjeta|credit|ip|host|server|addr)[^A-Za-z0-9]{0,4}(?:[a-z]{0,12}[^A-Za-z0-9]{1,4})?$"
 BEFORE = 24
 
-FEATURES = ["kind", "generator", "digits", "valid", "separators", "left", "right", "cue"]
+FEATURES = ["kind", "digits", "separators", "left", "right", "cue"]
 ROUNDS, RATE, PRECISION = 12, 0.5, 0.98
 
 
@@ -254,7 +254,7 @@ def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     found = candidates(docs, keep)
     trees = train(found)
     apart = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    chosen = F.filter("found", lambda c: (c["generator"] > 0) & trees.selects(c) & apart(c, F.col("base")))
+    chosen = F.filter("found", lambda c: (c["generator"] > 0) & (c["valid"] == 1) & trees.selects(c) & apart(c, F.col("base")))
     added = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select(*keep, "text", F.array_sort("base").alias("base"), F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
 
