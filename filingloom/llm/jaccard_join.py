@@ -55,6 +55,8 @@ MAX_MATCH = 4
 FREQUENT_ROWS = 500_000
 #: Shingles that a task gathers before it counts or deals them.
 COUNT_ROWS = 2_000_000
+#: Tokens before one by which a pair is known to have come up already.
+EARLIER = 16
 #: Prefix tokens of a bucket in which repeated ones are looked for.
 BUCKET_ROWS = 500_000
 
@@ -371,6 +373,27 @@ def _repeated(reps: DataFrame, frequent, classes: DataFrame, percent: int) -> Da
     return reps.mapInArrow(deal, "bucket long, held binary").groupBy("bucket").applyInArrow(several, "tok long, node long, l int").distinct()
 
 
+def _candidates(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of nodes of two components that share enough prefix tokens.
+
+    A pair comes up at the first token it shares, and only if both have as many
+    tokens from there on as they must share; the exact count follows. So a pair
+    is one row, not one for each common token.
+    """
+    rows = apart.select("node", "n", "l", "comp", "toks", F.size("toks").alias("u"), F.posexplode("toks").alias("at", "tok"))
+    earlier = F.slice("toks", F.greatest(F.col("at") - EARLIER + 1, F.lit(1)), F.least(F.col("at"), F.lit(EARLIER)))
+    rows = rows.select("tok", "node", "n", "l", "comp", (F.col("u") - F.col("at")).alias("left"), earlier.alias("earlier"))
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
+    behind = F.greatest(_behind("n_a", F.col("l_a"), percent), _behind("n_b", F.col("l_b"), percent))
+    least = F.greatest(F.least("l_a", "l_b").cast("bigint"), _alpha("n_a", "n_b", percent) - behind)
+    could = (F.col("left_a") >= least) & (F.col("left_b") >= least) & _sizes_allow("n_a", "n_b", percent) & ~F.arrays_overlap("earlier_a", "earlier_b")
+    met = a.join(b, (F.col("tok_a") == F.col("tok_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & could)
+    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), least.alias("least")).distinct()
+    for end in "ab":
+        pairs = pairs.join(apart.select(F.col("node").alias(end), F.col("toks").alias(f"toks_{end}")), end)
+    return pairs.filter(F.size(F.array_intersect("toks_a", "toks_b")) >= F.col("least")).select("a", "b")
+
+
 def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, most: int = MAX_MATCH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
@@ -404,14 +427,9 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     # 2. Members of a block that are still apart, if they share enough of their prefixes.
     named = posting.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    apart = scratch.write(named.join(several, "tok", "left_semi"), "apart")
-    left, right = (apart.select(F.col("tok").alias(f"tok_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "u", "comp"))) for s in "ab")
-    behind = F.greatest(_behind("n_a", F.col("l_a"), percent), _behind("n_b", F.col("l_b"), percent))
-    least = F.greatest(F.least("l_a", "l_b").cast("bigint"), _alpha("n_a", "n_b", percent) - behind)
-    could = (F.col("u_a") >= least) & (F.col("u_b") >= least) & _sizes_allow("n_a", "n_b", percent)
-    met = left.join(right, (F.col("tok_a") == F.col("tok_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & could)
-    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("least"))
-    again = counted.filter("shared >= least").select("a", "b")
+    common = named.join(several, "tok", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("tok")).alias("toks"), *(F.first(c).alias(c) for c in ("n", "l", "comp")))
+    apart = scratch.write(common, "apart")  # of each node its own prefix tokens that other components have
+    again = scratch.write(_candidates(apart, percent), "candidates")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = scratch.write(again.join(done, ["a", "b"], "left_anti"), "apart-pairs")
     if not again.isEmpty():
