@@ -67,7 +67,7 @@ def removed_files(diff: DataFrame, present: DataFrame) -> DataFrame:
 def manifest_records(processed: DataFrame, sections: DataFrame) -> DataFrame:
     """A record for each filing that was processed, with the files it gave, maybe none, and its role."""
     files = sections.groupBy("ticker", "accession").agg(F.array_sort(F.collect_list("filename")).alias("files"))
-    rows = processed.join(files, ["ticker", "accession"], "left")
+    rows = processed.select("ticker", "accession", "kind", "report_date", "filed", "business", "notes").join(files, ["ticker", "accession"], "left")
     return rows.select(
         "ticker", "accession", F.col("kind").alias("form"), "report_date", "filed",
         F.coalesce("files", F.array().cast("array<string>")).alias("files"),

@@ -12,6 +12,7 @@ from filingloom.operators import filings as P
 from filingloom.operators import index as I
 from filingloom.operators import sections as S
 from filingloom.plans import adapters as A
+from filingloom.plans.filing_queries import earlier_manifest
 from filingloom.plans.registry import query
 
 _TEXTS = f"WITH {A.TEXTS}"
@@ -205,10 +206,10 @@ def build_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refresh_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest of an earlier year's corpus brought up to date."""
-    parts = (A.profiles(spark, d), A.filings(spark, d), _documents(spark, d))
-    sections, manifest, _ = C.build_corpus(*parts, A.EARLIER)
-    return C.refresh_corpus(*parts, manifest, sections, A.AS_OF)[1]
+    """The manifest of an earlier year, as recorded, brought up to date."""
+    manifest = earlier_manifest(spark, d)
+    held = manifest.select("ticker", "accession", F.explode("files").alias("filename")).filter(~F.contains("filename", F.lit("17_")))
+    return C.refresh_corpus(A.profiles(spark, d), A.filings(spark, d), _documents(spark, d), manifest, held, A.AS_OF)[1]
 
 
 @query()
