@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from filingloom.llm.arrowtext import chunks, lower_ascii
 from filingloom.llm.textmodel import bounded_sample, crc_rule
 
-SAMPLE = 4000
+SAMPLE = 2000
 BUCKETS = 4096
 #: Languages up to which every way to part them is a bit.
 ALL_SPLITS = 5
@@ -87,16 +87,18 @@ class Model:
 
 def fit(langs: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-5) -> Model:
     """Logistic models of all bits at once, by accelerated gradient; every language weighs the same."""
-    code = codewords(len(langs))
-    target = code[y]
-    share = 1 / np.maximum(np.bincount(y, minlength=len(langs)), 1)[y] / max(len(langs), 1)
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
-    vw, vb, rate = w.copy(), b.copy(), 40.0
+    single = np.float32  # one copy of the profiles: doubles would make a second
+    x, code = x.astype(single, copy=False), codewords(len(langs))
+    target = code[y].astype(single)
+    share = (1 / np.maximum(np.bincount(y, minlength=len(langs)), 1)[y] / max(len(langs), 1)).astype(single)
+    w, b = np.zeros((x.shape[1], code.shape[1]), single), np.zeros(code.shape[1], single)
+    vw, vb, rate = w.copy(), b.copy(), single(40.0)
+    keep, step = single(0.9), single(0.1)
     for _ in range(rounds):
-        f = x @ (w + 0.9 * vw) + b + 0.9 * vb
+        f = x @ (w + keep * vw) + b + keep * vb
         g = -target * share[:, None] / (1 + np.exp(np.clip(target * f, -30, 30)))
-        vw = 0.9 * vw - 0.1 * rate * (x.T @ g + ridge * w)
-        vb = 0.9 * vb - 0.01 * rate * g.sum(0)
+        vw = keep * vw - step * rate * (x.T @ g + single(ridge) * w)
+        vb = keep * vb - step * step * rate * g.sum(0)
         w, b = w + vw, b + vb
     wrong = ((x @ w + b) * target < 0).T @ share
     trust = np.log((1 - np.clip(wrong, 1e-3, 0.5)) / np.clip(wrong, 1e-3, 0.5))
