@@ -6,17 +6,20 @@ estimates in the nodes of a tree of contexts, the last 0 to ``DEPTH`` bytes, and
 context-tree weighting mixes the estimates of all depths. The counts come from
 all training documents; then the tree is fixed and texts are scored in parallel.
 
-The root and the ``NODES`` most frequent contexts (fewer where counts tie) are
-the nodes, however large the corpus: that bounds what the driver fits and what is
-broadcast (at most 3 KB a node). A context is at least as frequent as those below
-it, so they form a tree. The rarer contexts below a node share one leaf, "the
-others", so the nodes below one still part its counts and the mixture is exact
-for that tree.
-
-Next to it stands the base, add-one word counts. Its vocabulary grows with the
-corpus and is never broadcast: documents are encoded in chunks of about
-``CHUNK_TOKENS`` tokens with a dictionary of their own, counts are summed per
-token, and the sums go back to the chunks that asked.
+Every context of the training texts is a node, so the tree grows with the corpus
+and no machine holds it. Documents are encoded in chunks of about
+``CHUNK_TOKENS`` tokens; a chunk tells its distinct strings of ``DEPTH`` + 1
+bytes, with their training counts, by bucket: a hash of the ``TOP`` bytes before
+the last. A bucket holds whole subtrees below depth ``TOP``. It weights them bottom up
+and tells the sums; the driver weights the contexts of fewer than ``TOP`` bytes,
+whose number the alphabet bounds, and broadcasts what is left to mix; then each
+bucket goes top down and tells each chunk the log probability of its strings.
+If a number of ``nodes`` is asked for, only the most frequent contexts (fewer
+where counts tie) are nodes; the rarer ones below a node share one leaf, "the
+others".
+
+Next to it stands the base, add-one word counts: counts are summed per token, and
+the sums go back to the chunks that asked.
 
 Edge cases: a null or empty text is its end alone; with nothing to learn from
 every bit is even; repeated rows are each counted and scored; a null doc_id is
@@ -27,7 +30,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +37,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.arrowtext import NOT_SPACE, chunks, lower_ascii, word_bounds, word_hashes
+from filingloom.llm.arrowtext import NOT_SPACE, chunks, lower_ascii, mixed, word_bounds, word_hashes
 from filingloom.llm.scratch import Scratch
 from filingloom.llm.textmodel import crc_rule
 
 DEPTH = 6
-NODES = 20_000
+#: Depth at which subtrees are dealt to buckets.
+TOP = 3
+BUCKETS = 4096
 CHUNK_TOKENS = 1_000_000
-#: Distinct strings that a task holds before it hands counts on.
-HELD_GRAMS = 3_000_000
+CHUNK_BYTES = 8_000_000
+#: Strings of whole buckets that a task weights at once.
+HELD_GRAMS = 500_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -61,43 +66,35 @@ def _padded(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return out, places, begins
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, cnt): how often each byte follows each context of depth bytes; the byte lowest, the nearest context byte next."""
+def _grams(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The string of each byte and end, the byte lowest, the nearest context byte next; where rows begin."""
+    text, places, begins = _padded(low, off, depth)
+    keys = np.zeros(len(places), np.int64)
+    for d in range(depth + 1):
+        keys |= text[places - d].astype(np.int64) << (8 * d)
+    return keys, begins
+
+
+def _bucketed(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct strings by bucket and value, the bucket of each, and the place of each key among them."""
+    grams, at = np.unique(keys, return_inverse=True)
+    bucket = (mixed((grams >> 8 & (1 << 8 * top) - 1).view(np.uint64)) % np.uint64(BUCKETS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return grams[order], bucket[order], place[at]
+
+
+def _pack(grams: np.ndarray, cnt: np.ndarray) -> bytes:
+    """Sorted strings and their counts, like bytes side by side."""
+    sides = [np.diff(grams, prepend=0), cnt.astype(np.int64)]
+    return zlib.compress(b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in sides), 1)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(np.concatenate([c for _, c in held])[order], first)
-
-        def out(grams: np.ndarray, cnt: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(cnt)], names=["gram", "cnt"])
-
-        size = 0
-        for _, data, off in chunks(batches):
-            text, places, _ = _padded(lower_ascii(data), off, depth)
-            keys = np.zeros(len(text), np.uint64)
-            for d in range(depth + 1):
-                keys[d:] |= text[: len(text) - d].astype(np.uint64) << np.uint64(8 * d)
-            grams, cnt = np.unique(keys[places], return_counts=True)
-            held.append((grams, cnt.astype(np.int64)))
-            size += len(grams)
-            if size > 2 * HELD_GRAMS:
-                grams, cnt = merged()
-                held[:] = [(grams, cnt)]
-                size = len(grams)
-                if size > HELD_GRAMS:
-                    yield out(grams, cnt)
-                    held.clear()
-                    size = 0
-        if held:
-            yield out(*merged())
-
-    return docs.select("text").mapInArrow(scan, "gram long, cnt long").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    sides = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 8, -1)
+    steps, cnt = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in sides)
+    return np.cumsum(steps), cnt
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -109,223 +106,233 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(low)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 decisions of each row of byte counts, first bit first."""
-    zeros, ones = [], []
-    for k in range(8):
-        split = counts.reshape(len(counts), 1 << k, 2, 128 >> k).sum(3)
-        zeros.append(split[:, :, 0])
-        ones.append(split[:, :, 1])
-    return np.concatenate(zeros, 1).astype(float), np.concatenate(ones, 1).astype(float)
-
-
-class Tree:
-    """A fitted tree: ``child[row, byte]`` for rows that go deeper, and log10 of each next byte for every row."""
-
-    def __init__(self, child: np.ndarray, log10: np.ndarray, depth: int):
-        self.child, self.log10, self.depth = child, log10, depth
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each lower-cased row with its end."""
-        text, places, begins = _padded(data, off, self.depth)
-        row = np.zeros(len(places), np.int64)
-        child = self.child.ravel()
-        for d in range(1, self.depth + 1):
-            if d == 1:
-                row = child[text[places - 1]]
-            else:
-                deeper = np.flatnonzero(row < len(self.child))
-                row[deeper] = child[row[deeper] * 256 + text[places[deeper] - d]]
-        found = self.log10.ravel()[row * 256 + text[places]]
-        return np.add.reduceat(found.astype(float), begins[:-1]) if len(begins) > 1 else np.zeros(0)
+_SMALL = 4096
+_HALVES, _WHOLES = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
 
 
-def fit_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = DEPTH) -> Tree:
-    """levels[d]: contexts (integers, nearest byte lowest), next bytes and counts of the nodes of depth d."""
-    counts, names = [], []
-    for d in range(depth + 1):
-        ctx, nxt, cnt = levels[d]
-        keys, row = np.unique(ctx, return_inverse=True)
-        if d == 0 and not len(keys):
-            keys = np.zeros(1, np.int64)
-        table = np.zeros((len(keys), 256), np.int64)
-        np.add.at(table, (row, nxt), cnt)
-        counts.append(table)
-        names.append(keys)
-    # Of each depth: the parent of each node, and which nodes have nodes below them.
-    parents = [np.zeros(0, np.int64)]
-    inner = [np.zeros(len(k), bool) for k in names]
-    for d in range(1, depth + 1):
-        up = np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1))
-        parents.append(up)
-        inner[d - 1][up] = True
-    # Bottom up: the weight of each node's own estimate against the nodes below it.
-    stay: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-    others: list[np.ndarray] = [np.zeros((0, 256), np.int64)] * (depth + 1)
-    below = None
-    for d in range(depth, -1, -1):
-        own = _estimate(counts[d])
-        weighted = own.copy()
-        stay[d] = np.ones(own.shape, np.float32)
-        at = np.flatnonzero(inner[d])
-        if len(at):
-            rest = counts[d].copy()
-            np.subtract.at(rest, parents[d + 1], counts[d + 1])
-            others[d] = rest[at]
-            split = np.zeros_like(own)
-            np.add.at(split, parents[d + 1], below)
-            split = split[at] + _estimate(others[d])
-            both = np.logaddexp(own[at], split) - np.log(2)
-            stay[d][at] = np.exp(own[at] - np.log(2) - both)
-            weighted[at] = both
-        below = weighted
-    # Rows: inner nodes first, by depth; then all leaves.
-    n_inner = [int(i.sum()) for i in inner]
-    base = np.concatenate([[0], np.cumsum(n_inner)])
-    total = int(base[-1])
-    child = np.zeros((max(total, 1), 256), np.int64)
-    rows = [np.where(inner[d], base[d] + np.cumsum(inner[d]) - 1, -1) for d in range(depth + 1)]
-    leaves: list[np.ndarray] = []
-    n_rows = total
-
-    def add(table: np.ndarray, mixed: np.ndarray, weight: np.ndarray) -> int:
-        nonlocal n_rows
-        zeros, ones = _bits(table)
-        leaves.append(_byte_logs(mixed + weight * (ones + 0.5) / (zeros + ones + 1)))
-        n_rows += len(table)
-        return n_rows - len(table)
-
-    mixed = np.zeros((len(names[0]), 255))
-    weight = np.ones_like(mixed)
-    if not total:
-        child[:] = total = n_rows = 1  # the root alone: a row that leads to its leaf
-        add(counts[0], mixed, weight)
-    for d in range(depth + 1):
-        at = np.flatnonzero(inner[d])
-        leaf = np.flatnonzero(~inner[d])
-        if d and len(leaf):
-            rows[d][leaf] = add(counts[d][leaf], mixed[leaf], weight[leaf]) + np.arange(len(leaf))
-        if d:
-            child[rows[d - 1][parents[d]], names[d] >> 8 * (d - 1)] = rows[d]
-        if not len(at):
-            continue
-        zeros, ones = _bits(counts[d])
-        mixed = mixed + weight * stay[d] * (ones + 0.5) / (zeros + ones + 1)
-        weight = weight * (1 - stay[d])
-        child[rows[d][at]] = (add(others[d], mixed[at], weight[at]) + np.arange(len(at)))[:, None]
-        mixed, weight = mixed[parents[d + 1]], weight[parents[d + 1]]
-    log10 = np.zeros((n_rows, 256), np.float32)
-    log10[total:] = np.concatenate(leaves)
-    return Tree(child.astype(np.int32), log10, depth)
-
-
-def _estimate(counts: np.ndarray) -> np.ndarray:
-    zeros, ones = _bits(counts)
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
-
-
-def _byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 of each byte from the probability of a one at each of its decisions."""
-    found = np.zeros((len(ones), 256), np.float32)
-    byte = np.arange(256)
-    for k in range(8):
-        p = ones[:, (1 << k) - 1 + (byte >> (8 - k))]
-        found += np.log10(np.where((byte >> (7 - k)) & 1, p, 1 - p))
+def _log_gamma(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    found = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _SMALL)
+    found[large] = _lgamma(n[large] + more)
     return found
 
 
-def train_tree(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
-    """The tree of all documents of docs; at most ``nodes`` contexts come to the driver."""
-    scratch = Scratch(docs.sparkSession)
-    level = scratch.write(gram_counts(docs, depth), f"grams-{depth}")
-    total = level.agg(F.sum("cnt")).first()[0] or 0
-    grams, contexts = {}, {}
-    for d in range(depth, -1, -1):
-        if d < depth:
-            mask = (1 << 8 * (d + 1)) - 1
-            level = scratch.write(level.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("cnt").alias("cnt")), f"grams-{d}")
-        grams[d] = level.select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("nxt"), "cnt")
-        counted = grams[d].groupBy("ctx").agg(F.sum("cnt").alias("n"))
-        # Of contexts with n >= total * depth / (64 * nodes) there are 64 * nodes at most: enough to rank by.
-        contexts[d] = scratch.write(counted.filter(F.col("n") >= (max(1, total * depth / (64 * nodes)) if d else 0)), f"contexts-{d}")
-    ranked = reduce(DataFrame.unionByName, (contexts[d].select("n") for d in range(1, depth + 1)))
-    largest = ranked.orderBy(F.desc("n")).limit(nodes + 1).toArrow().column("n").to_pylist()
-    floor = largest[-1] + 1 if len(largest) > nodes else 1
-    levels = []
-    for d in range(depth + 1):
-        kept = contexts[d].filter(F.col("n") >= (floor if d else 0)).select("ctx")
-        table = grams[d].join(kept, "ctx", "left_semi").toArrow()
-        levels.append(tuple(table.column(c).to_numpy() for c in ("ctx", "nxt", "cnt")))
-    return fit_tree(levels, depth)
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _log_gamma(zeros, _HALVES, 0.5) + _log_gamma(ones, _HALVES, 0.5) - _log_gamma(zeros + ones, _WHOLES, 1.0) - np.log(np.pi)
+
+
+#: What a decision of a context knows: zeros, ones, those in nodes below, the log weight of these, their number.
+SUMS = ["zeros", "ones", "below_zeros", "below_ones", "below", "kids"]
 
 
-def _encoded(docs: DataFrame, tree, depth: int) -> DataFrame:
-    """Per document: chunk, counts of the chunk's tokens and the tree's score; per token of a chunk: its training count."""
+def _decisions(grams: np.ndarray, cnt: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (context, then the bits so far after a one) of decision ``bit`` in the full contexts, their sums, the key's row of each string."""
+    byte = grams & 255
+    keys, row = np.unique((grams >> 8 << 8) | (1 << bit) | (byte >> (8 - bit)), return_inverse=True)
+    one = byte >> (7 - bit) & 1
+    sums = np.zeros((len(SUMS), len(keys)))
+    sums[0], sums[1] = np.bincount(row, cnt * (1 - one), len(keys)), np.bincount(row, cnt * one, len(keys))
+    return keys, sums, row
+
+
+class Weights:
+    """One decision's weights in the contexts of depths ``high`` to ``low``; contexts are those of the first decision."""
+
+    def __init__(self, keys: np.ndarray, sums: np.ndarray, high: int, low: int, floor: int, first: Weights | None):
+        self.steps: list[tuple[np.ndarray, ...]] = []
+        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(high, low - 1, -1):
+            zeros, ones, below_zeros, below_ones, below, kids = sums
+            if first is None:
+                kept, inner = (zeros + ones >= floor) | (d == 0), kids > 0
+                self.contexts.append((kept, inner))
+            else:
+                context = np.cumsum(np.diff(keys >> 8, prepend=keys[:1] >> 8) != 0)
+                kept, inner = (x[context] for x in first.contexts[high - d])
+            own = _estimate(zeros, ones)
+            other_zeros, other_ones = zeros - below_zeros, ones - below_ones
+            both = np.logaddexp(own, below + _estimate(other_zeros, other_ones)) - np.log(2)
+            stay = np.where(inner, np.exp(own - np.log(2) - both), 1.0)
+            weighted = np.where(inner, both, own)
+            up, row = np.unique((keys >> 8 & (1 << 8 * max(d - 1, 0)) - 1) << 8 | keys & 255, return_inverse=True)
+            self.steps.append((row, kept, stay, (ones + 0.5) / (zeros + ones + 1), (other_ones + 0.5) / (other_zeros + other_ones + 1)))
+            parts = [zeros, ones, zeros * kept, ones * kept, weighted * kept, kept]
+            keys, sums = up, np.stack([np.bincount(row, x, len(up)) for x in parts])
+        #: Of the contexts above: keys and sums.
+        self.keys, self.sums = keys, sums
+
+    def descend(self, probability: np.ndarray, weight: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the state of the contexts above (of self.keys): probability of a one so far, weight left, the others' estimate."""
+        for row, kept, stay, own, rest in reversed(self.steps):
+            probability = probability[row] + weight[row] * np.where(kept, stay * own, others[row])
+            weight = weight[row] * np.where(kept, 1 - stay, 0.0)
+            others = rest
+        return probability, weight, others
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(chunks, strings, counts, places of each chunk's strings) of some whole buckets; rows come by bucket."""
+    held: list[tuple] = []
+
+    def merged() -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
+        grams, at = np.unique(np.concatenate([g for *_, g, _ in held]), return_inverse=True)
+        cnt = np.bincount(at, np.concatenate([c for *_, c in held]), len(grams))
+        return [(c, b) for c, b, *_ in held], grams, cnt, np.split(at, np.cumsum([len(g) for *_, g, _ in held])[:-1])
+
+    size = 0
+    for batch in batches:
+        for chunk, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "packed")), strict=True):
+            if size >= HELD_GRAMS and held[-1][1] != bucket:
+                yield merged()
+                held.clear()
+                size = 0
+            held.append((chunk, bucket, *_unpack(packed)))
+            size += len(held[-1][2])
+    if held:
+        yield merged()
+
+
+def _weights(grams: np.ndarray, cnt: np.ndarray, depth: int, top: int, floor: int) -> Iterator[tuple[int, Weights, np.ndarray]]:
+    """Each decision, its weights in the contexts of at least ``top`` bytes and the row of each string."""
+    first = None
+    for bit in range(8):
+        keys, sums, row = _decisions(grams, cnt, bit)
+        found = Weights(keys, sums, depth, top, floor, first)
+        first = first or found
+        yield bit, found, row
+
+
+def _floor(asked: DataFrame, depth: int, nodes: int) -> int:
+    """The count from which on at most ``nodes`` contexts but the root are nodes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, grams, cnt, _ in _whole_buckets(batches):
+            for d in range(1, depth + 1):
+                context, row = np.unique(grams >> 8 & (1 << 8 * d) - 1, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(context), d)), pa.array(context), pa.array(np.bincount(row, cnt, len(context)).astype(np.int64))], names=["d", "context", "n"])
+
+    counted = asked.mapInArrow(scan, "d long, context long, n long").groupBy("d", "context").agg(F.sum("n").alias("n"))
+    largest = counted.filter("n > 0").orderBy(F.desc("n")).limit(nodes + 1).toArrow().column("n").to_pylist()
+    return largest[-1] + 1 if len(largest) > nodes else 1
+
+
+def _string_scores(packed: DataFrame, depth: int, nodes: int | None) -> DataFrame:
+    """(chunk, bucket, logs): float32 log10 probabilities of the strings that a chunk has in a bucket, by value."""
+    spark = packed.sparkSession
+    top = min(TOP, depth)
+    asked = packed.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    floor = 1 if nodes is None else _floor(asked, depth, nodes)
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, grams, cnt, _ in _whole_buckets(batches):
+            for _, found, _ in _weights(grams, cnt, depth, top, floor):
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys), *map(pa.array, found.sums)], names=["key", *SUMS])
+
+    schema = ", ".join(["key long", *(f"{c} double" for c in SUMS)])
+    table = asked.mapInArrow(climb, schema).groupBy("key").agg(*(F.sum(c).alias(c) for c in SUMS)).toArrow().sort_by("key")
+    keys, sums = table.column("key").to_numpy(), np.stack([table.column(c).to_numpy() for c in SUMS])
+    first, state = None, {}
+    for bit in range(8):
+        at = np.flatnonzero((keys & 255) >> bit == 1)
+        found = Weights(keys[at], sums[:, at], top - 1, 0, floor, first)
+        first = first or found
+        n = len(found.keys)
+        state[bit] = (keys[at], *found.descend(np.zeros(n), np.ones(n), np.zeros(n)))
+    told = spark.sparkContext.broadcast(state)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asking, grams, cnt, places in _whole_buckets(batches):
+            logs = np.zeros(len(grams))
+            for bit, found, row in _weights(grams, cnt, depth, top, floor):
+                above, *known = told.value[bit]
+                at = np.searchsorted(above, found.keys)
+                one = found.descend(*(x[at] for x in known))[0][row]
+                logs += np.log10(np.where(grams >> (7 - bit) & 1, one, 1 - one))
+            out = [logs[p].astype("<f4").tobytes() for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in asking], pa.int64()), pa.array([b for _, b in asking], pa.int32()), pa.array(out, pa.binary())], names=["chunk", "bucket", "logs"])
+
+    return asked.mapInArrow(answer, "chunk long, bucket int, logs binary")
+
+
+def _encoded(docs: DataFrame, depth: int) -> DataFrame:
+    """Per document: chunk, counts of the chunk's tokens and its bytes; per token of a chunk: its training count; per bucket of a chunk: its strings."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "doc_id", "held_out", "n_tokens", "score", "terms", "tok", "cnt"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["chunk", "doc_id", "held_out", "n_tokens", "low", "terms", "tok", "cnt", "bucket", "packed"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         context = TaskContext.get()
         chunk = (context.partitionId() if context else 0) << 32
-        model = tree.value
         gathered: list[tuple] = []
 
+        def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["chunk"] = pa.array(np.full(n, chunk))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names=names)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate([t for _, _, _, ts in gathered for t in ts])
+            tokens = np.concatenate([t for *_, ts in gathered for t in ts])
             toks, local = np.unique(tokens, return_inverse=True)
-            lengths = [len(t) for _, _, _, ts in gathered for t in ts]
+            lengths = [len(t) for *_, ts in gathered for t in ts]
             ids = [i for x, *_ in gathered for i in x]
-            held = np.concatenate([h for _, h, _, _ in gathered])
+            held = np.concatenate([h for _, h, *_ in gathered])
             cnt = np.bincount(local, np.repeat(~held, lengths), len(toks)).astype(np.int64)
             terms = []
             for part in np.split(local.astype(np.int32), np.cumsum(lengths)[:-1]):
                 used, times = np.unique(part, return_counts=True)
                 steps = np.diff(used, prepend=0)
                 terms.append(zlib.compress(np.concatenate([steps, times]).astype("<i4").tobytes(), 1))
-            none = lambda n, k: pa.nulls(n, kinds[k])
-            n, m = len(ids), len(toks)
-            first = [pa.array(np.full(n, chunk)), pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths, pa.int64()), pa.array(np.concatenate([s for _, _, s, _ in gathered])), pa.array(terms, pa.binary()), none(n, 6), none(n, 7)]
-            yield pa.RecordBatch.from_arrays(first, names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), *(none(m, k) for k in range(1, 6)), pa.array(toks.view(np.int64)), pa.array(cnt)], names=names)
+            lows = [zlib.compress(low[a:b].tobytes(), 1) for _, _, low, off, _ in gathered for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield batch(len(ids), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held), n_tokens=pa.array(lengths, pa.int64()), low=pa.array(lows, pa.binary()), terms=pa.array(terms, pa.binary()))
+            yield batch(len(toks), tok=pa.array(toks.view(np.int64)), cnt=pa.array(cnt))
+            cut = [_grams(low, off, depth) for _, _, low, off, _ in gathered]
+            grams, bucket, at = _bucketed(np.concatenate([g for g, _ in cut]), min(TOP, depth))
+            learnt = np.concatenate([np.repeat(~h, np.diff(b)) for (_, h, *_), (_, b) in zip(gathered, cut, strict=True)])
+            seen = np.bincount(at[learnt], minlength=len(grams))
+            begins = np.flatnonzero(np.diff(bucket.astype(np.int32), prepend=-1))
+            packed = [_pack(grams[a:b], seen[a:b]) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(grams)], strict=True)]
+            yield batch(len(packed), bucket=pa.array(bucket[begins].astype(np.int32)), packed=pa.array(packed, pa.binary()))
             gathered.clear()
 
-        size = 0
+        size = held_bytes = 0
         for rows, data, off in chunks(batches):
             low = lower_ascii(data)
             starts, ends = word_bounds(NOT_SPACE[low], off)
             words = word_hashes(low, starts, ends)
             first = np.searchsorted(starts, off)
             texts = [np.concatenate([words[a:b], [_END]]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            gathered.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), model.score(low, off), texts))
+            gathered.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), low, off, texts))
             size += len(words) + len(texts)
-            if size >= CHUNK_TOKENS:
+            held_bytes += len(low)
+            if size >= CHUNK_TOKENS or held_bytes >= CHUNK_BYTES:
                 yield from flush()
-                chunk, size = chunk + 1, 0
+                chunk, size, held_bytes = chunk + 1, 0, 0
         if gathered:
             yield from flush()
 
-    schema = "chunk long, doc_id long, held_out boolean, n_tokens long, score double, terms binary, tok long, cnt long"
+    schema = "chunk long, doc_id long, held_out boolean, n_tokens long, low binary, terms binary, tok long, cnt long, bucket int, packed binary"
     return docs.select("doc_id", "text", "held_out").mapInArrow(scan, schema)
 
 
-def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows held out are not learnt from."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     marked = docs.select("doc_id", "text", (crc_rule(7, 2) if held_out is None else held_out).alias("held_out"))
-    tree = spark.sparkContext.broadcast(train_tree(marked.filter(~F.col("held_out")), depth, nodes))
-    encoded = scratch.write(_encoded(marked, tree, depth), "encoded")
+    encoded = scratch.write(_encoded(marked, depth), "encoded")
+    strings = scratch.write(_string_scores(encoded.filter("bucket is not null").select("chunk", "bucket", "packed"), depth, nodes), "strings")
     asked = encoded.filter("tok is not null").select("chunk", "tok", "cnt")
     counts = asked.groupBy("tok").agg(F.sum("cnt").alias("c"))
     counts = scratch.write(counts, "counts")
     totals = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = totals[0] or 0, totals[1] or 0
-    answers = asked.join(counts, "tok").select(F.col("chunk").alias("asked_by"), "tok", "c")
-    texts = encoded.filter("tok is null").drop("tok", "cnt")
-
-    def base(key, tables_docs: pa.Table, tables_counts: pa.Table) -> pa.Table:
-        toks = tables_counts.column("tok").to_numpy().view(np.uint64)
-        c = tables_counts.column("c").to_numpy()[np.argsort(toks)]
+    known = asked.join(counts, "tok").select(F.col("chunk").alias("asked_by"), "tok", "c")
+    answers = known.unionByName(strings.withColumnRenamed("chunk", "asked_by"), allowMissingColumns=True)
+    texts = encoded.filter("n_tokens is not null").select("chunk", "doc_id", "held_out", "n_tokens", "low", "terms")
+
+    def scored(key, tables_docs: pa.Table, tables_answers: pa.Table) -> pa.Table:
+        is_string = tables_answers.column("tok").is_null()
+        words = tables_answers.filter(tables_answers.column("tok").is_valid())
+        toks = words.column("tok").to_numpy().view(np.uint64)
+        c = words.column("c").to_numpy()[np.argsort(toks)]
         logs = np.log10((c + 1) / (n + v + 1))
         scores, known = [], []
         for terms in tables_docs.column("terms").to_pylist():
@@ -333,8 +340,13 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int
             used = np.cumsum(steps)
             scores.append(float((times * logs[used]).sum()))
             known.append(int(times[c[used] > 0].sum()))
+        by_bucket = tables_answers.filter(is_string).select(["bucket", "logs"]).sort_by("bucket").column("logs").to_pylist()
+        lows = [zlib.decompress(x) for x in tables_docs.column("low").to_pylist()]
+        grams, begins = _grams(np.frombuffer(b"".join(lows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in lows])]), depth)
+        place = _bucketed(grams, min(TOP, depth))[2]
+        tree = np.add.reduceat(np.frombuffer(b"".join(by_bucket), "<f4")[place].astype(float), begins[:-1])
         out = [tables_docs.column(x) for x in ("doc_id", "held_out", "n_tokens")]
-        return pa.table([*out, pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(scores, pa.float64()), tables_docs.column("score")], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([*out, pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(scores, pa.float64()), pa.array(tree)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(answers.groupBy("asked_by")).applyInArrow(base, schema)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("asked_by")).applyInArrow(scored, schema)
