@@ -48,7 +48,7 @@ BUCKETS = 4096
 CHUNK_TOKENS = 1_000_000
 CHUNK_BYTES = 8_000_000
 #: Strings of whole buckets that a task weights at once.
-HELD_GRAMS = 500_000
+HELD_GRAMS = 250_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -280,13 +280,11 @@ def _encoded(docs: DataFrame, depth: int) -> DataFrame:
                 used, times = np.unique(part, return_counts=True)
                 steps = np.diff(used, prepend=0)
                 terms.append(zlib.compress(np.concatenate([steps, times]).astype("<i4").tobytes(), 1))
-            lows = [zlib.compress(low[a:b].tobytes(), 1) for _, _, low, off, _ in gathered for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            lows = [low for _, _, lows, _, _ in gathered for low in lows]
             yield batch(len(ids), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held), n_tokens=pa.array(lengths, pa.int64()), low=pa.array(lows, pa.binary()), terms=pa.array(terms, pa.binary()))
             yield batch(len(toks), tok=pa.array(toks.view(np.int64)), cnt=pa.array(cnt))
-            cut = [_grams(low, off, depth) for _, _, low, off, _ in gathered]
-            grams, bucket, at = _bucketed(np.concatenate([g for g, _ in cut]), min(TOP, depth))
-            learnt = np.concatenate([np.repeat(~h, np.diff(b)) for (_, h, *_), (_, b) in zip(gathered, cut, strict=True)])
-            seen = np.bincount(at[learnt], minlength=len(grams))
+            grams, bucket, at = _bucketed(np.concatenate([g for *_, told, _ in gathered for g, _ in told]), min(TOP, depth))
+            seen = np.bincount(at, np.concatenate([c for *_, told, _ in gathered for _, c in told]), len(grams))
             begins = np.flatnonzero(np.diff(bucket.astype(np.int32), prepend=-1))
             packed = [_pack(grams[a:b], seen[a:b]) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(grams)], strict=True)]
             yield batch(len(packed), bucket=pa.array(bucket[begins].astype(np.int32)), packed=pa.array(packed, pa.binary()))
@@ -299,7 +297,13 @@ def _encoded(docs: DataFrame, depth: int) -> DataFrame:
             words = word_hashes(low, starts, ends)
             first = np.searchsorted(starts, off)
             texts = [np.concatenate([words[a:b], [_END]]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            gathered.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), low, off, texts))
+            held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            grams, begins = _grams(low, off, depth)
+            learnt = np.repeat(~held, np.diff(begins))
+            unseen = np.unique(grams[~learnt])
+            told = [np.unique(grams[learnt], return_counts=True), (unseen, np.zeros(len(unseen), np.int64))]
+            lows = [zlib.compress(low[a:b].tobytes(), 1) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            gathered.append((rows.column("doc_id").to_pylist(), held, lows, told, texts))
             size += len(words) + len(texts)
             held_bytes += len(low)
             if size >= CHUNK_TOKENS or held_bytes >= CHUNK_BYTES:
@@ -312,6 +316,20 @@ def _encoded(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(scan, schema)
 
 
+def _distinct(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct strings of some rows, which of them stands at each place, where rows begin."""
+    keys, begins = _grams(low, off, depth)
+    grams, at = np.unique(keys, return_inverse=True)
+    return grams, at.astype(np.int32), begins
+
+
+def _inflated(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The kept texts, in batches of bounded rows."""
+    for batch in docs.select(["low"]).to_batches(max_chunksize=512):
+        texts = pa.array([zlib.decompress(x) for x in batch.column("low").to_pylist()], pa.large_binary())
+        yield pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], names=["text"])
+
+
 def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows held out are not learnt from."""
     spark = docs.sparkSession
@@ -341,10 +359,11 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int
             scores.append(float((times * logs[used]).sum()))
             known.append(int(times[c[used] > 0].sum()))
         by_bucket = tables_answers.filter(is_string).select(["bucket", "logs"]).sort_by("bucket").column("logs").to_pylist()
-        lows = [zlib.decompress(x) for x in tables_docs.column("low").to_pylist()]
-        grams, begins = _grams(np.frombuffer(b"".join(lows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in lows])]), depth)
-        place = _bucketed(grams, min(TOP, depth))[2]
-        tree = np.add.reduceat(np.frombuffer(b"".join(by_bucket), "<f4")[place].astype(float), begins[:-1])
+        logs = np.frombuffer(b"".join(by_bucket), "<f4")
+        pieces = [_distinct(low, off, depth) for _, low, off in chunks(_inflated(tables_docs))]
+        place = _bucketed(np.concatenate([g for g, *_ in pieces]), min(TOP, depth))[2]
+        places = np.split(place, np.cumsum([len(g) for g, *_ in pieces])[:-1])
+        tree = np.concatenate([np.add.reduceat(logs[p][at].astype(float), begins[:-1]) for p, (_, at, begins) in zip(places, pieces, strict=True)])
         out = [tables_docs.column(x) for x in ("doc_id", "held_out", "n_tokens")]
         return pa.table([*out, pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(scores, pa.float64()), pa.array(tree)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
