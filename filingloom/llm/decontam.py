@@ -15,6 +15,7 @@ texts are each reported; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,53 +161,81 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     )
 
 
-def _cleaned(text: str, scan) -> str:
-    """The text without the words of any window; again, while what is left holds one."""
-    while True:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        low, starts, ends, first = _spans(raw, np.array([0, len(raw)]))
-        hit = np.zeros(len(starts) + 1, np.int64)
-        for _, a, b, _ in scan(low, starts, ends, word_hashes(low, starts, ends), first):
-            hit[a] += 1
-            hit[b] -= 1
-        gone = np.cumsum(hit)[:-1] > 0
-        if not gone.any():
-            return text
-        edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-        kept, at = [], 0
-        for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True):
-            kept.append(raw[at : starts[a]].tobytes())
-            at = ends[b - 1]
-        text = b"".join([*kept, raw[at:].tobytes()]).decode()
+def _without(text: str, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the words marked as gone and what stands between neighbours among them."""
+    raw = text.encode()
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    kept, at = [], 0
+    for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True):
+        kept.append(raw[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+_HITS = "_window_places"
+
+
+def _with_hits(docs: DataFrame, told) -> DataFrame:
+    """docs, the places of words in windows of one block added to those found before."""
+
+    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scanner(told.value)
+        for rows, data, off in chunks(batches):
+            low, starts, ends, first = _spans(data, off)
+            hits = [set(x) for x in rows.column(_HITS).to_pylist()]
+            for r, a, b, _ in scan(low, starts, ends, word_hashes(low, starts, ends), first):
+                hits[r].update(range(a, b))
+            found = pa.array([sorted(x) for x in hits], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([found if c == _HITS else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
+
+    return docs.mapInArrow(scan_all, docs.schema)
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """docs without the words at the places found; those left without a word go."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in chunks(batches):
+            hits = rows.column(_HITS).to_pylist()
+            if not any(hits):
+                yield rows
+                continue
+            texts = rows.column("text").to_pylist()
+            keep = np.ones(rows.num_rows, bool)
+            for r in (r for r, places in enumerate(hits) if places):
+                _, starts, ends, _ = _spans(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]))
+                gone = np.zeros(len(starts), bool)
+                gone[hits[r]] = True
+                texts[r] = _without(texts[r], gone, starts, ends)
+                keep[r] = bool(_WORD.search(lower_ascii(np.frombuffer(texts[r].encode(), np.uint8)).tobytes()))
+            new = {"text": texts}
+            if "n_chars" in rows.schema.names:
+                counts = rows.column("n_chars").to_pylist()
+                new["n_chars"] = [len(texts[r]) if hits[r] else n for r, n in enumerate(counts)]
+            columns = [pa.array(new[f.name], f.type) if f.name in new else rows.column(k) for k, f in enumerate(rows.schema)]
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
+
+    return docs.mapInArrow(cut, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without the words of benchmark windows; a document of which no word is left goes.
 
-    Untouched rows are kept as they are. ``n_chars``, where there is one, follows a changed text.
+    Hits of all blocks are found on one text and cut at once; what is cut is looked
+    through again, by all blocks, while it holds a window. Untouched rows are kept as
+    they are. ``n_chars``, where there is one, follows a changed text.
     """
-    spark = docs.sparkSession
-    for told in _blocks(spark, benchmark, window, block):
-
-        def clean(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            scan = _scanner(told.value)
-            for rows, data, off in chunks(batches):
-                low, starts, ends, first = _spans(data, off)
-                touched = {r for r, *_ in scan(low, starts, ends, word_hashes(low, starts, ends), first)}
-                if not touched:
-                    yield rows
-                    continue
-                texts = rows.column("text").to_pylist()
-                keep = np.ones(rows.num_rows, bool)
-                for r in touched:
-                    texts[r] = _cleaned(texts[r], scan)
-                    keep[r] = bool(_WORD.search(lower_ascii(np.frombuffer(texts[r].encode(), np.uint8)).tobytes()))
-                new = {"text": texts}
-                if "n_chars" in rows.schema.names:
-                    counts = rows.column("n_chars").to_pylist()
-                    new["n_chars"] = [len(texts[r]) if r in touched else n for r, n in enumerate(counts)]
-                columns = [pa.array(new[f.name], f.type) if f.name in new else rows.column(k) for k, f in enumerate(rows.schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession)
+    blocks = list(_blocks(docs.sparkSession, benchmark, window, block))
+    none = F.array().cast("array<int>")
+    done, left = None, docs
+    while True:
+        marked = left.withColumn(_HITS, none)
+        for told in blocks:
+            marked = _with_hits(marked, told)
+        table = scratch.write(_cut(marked), f"round-{uuid.uuid4().hex}")
+        clean = table.filter(F.size(_HITS) == 0).drop(_HITS)
+        done = clean if done is None else done.unionByName(clean)
+        left = table.filter(F.size(_HITS) > 0).drop(_HITS)
+        if left.isEmpty():
+            return done

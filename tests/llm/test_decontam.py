@@ -72,6 +72,17 @@ def test_removal_leaves_no_window_and_clean_rows_alone(spark, data, block):
     assert not any(x[5] for x in brute([(r.doc_id, r.text) for r in got.values()], items))
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_WINDOWS, 20, 3])
+def test_removal_is_alike_however_windows_are_dealt(spark, data, block):
+    w = [f"q{i}" for i in range(11)]
+    docs = [*data[0], (100, " ".join(w)), (101, "head " + " ".join(w) + " tail"), (102, " ".join(w[:5] + w + w[5:]) + " end")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([*data[1], (50, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontam.remove_spans(d, b, block=block).collect()}
+    assert 100 not in got and words(got[101]) == ["head", "tail"] and words(got[102]) == ["end"]
+    assert got == {r.doc_id: r.text for r in decontam.remove_spans(d, b).collect()}
+
+
 def test_empty_tables(spark, data):
     d = spark.createDataFrame(data[0], "doc_id long, text string")
     b = spark.createDataFrame(data[1], "item_id long, text string")
