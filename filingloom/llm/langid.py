@@ -122,12 +122,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(langs, x, y)
 
 
+def _lettered(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which rows have a letter."""
+    letters = np.concatenate([[0], np.cumsum(((data | np.uint8(32)) - np.uint8(97)) < 26)])
+    plain = letters[off[1:]] > letters[off[:-1]]
+    return np.array([bool(p) or any(map(str.isalpha, data[off[k] : off[k + 1]].tobytes().decode())) for k, p in enumerate(plain)], bool)
+
+
 def _decided(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """lang_pred, score and ambiguous of each row."""
     best, score, near = model.decide(_profiles(data, off))
-    letters = np.concatenate([[0], np.cumsum(((data | np.uint8(32)) - np.uint8(97)) < 26)])
-    plain = letters[off[1:]] > letters[off[:-1]]
-    ok = np.array([bool(model.langs) and (bool(p) or any(map(str.isalpha, data[off[k] : off[k + 1]].tobytes().decode()))) for k, p in enumerate(plain)], bool)
+    ok = _lettered(data, off) & bool(model.langs)
     return [model.langs[b] if v else UNKNOWN for v, b in zip(ok, best, strict=True)], np.where(ok, score, 0.0).astype(float), ok & near
 
 
@@ -152,12 +157,18 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample: int = SAMP
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that are given no language, all columns unchanged; ambiguous rows stay."""
+    """docs without the rows that are given no language, all columns unchanged; ambiguous rows stay.
+
+    With nothing learnt no language can be told, and every row with a letter stays.
+    """
     told = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches, most=256):
-            lang, _, _ = _decided(told.value, data, off)
-            yield rows.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            if told.value.langs:
+                keep = [x != UNKNOWN for x in _decided(told.value, data, off)[0]]
+            else:
+                keep = _lettered(data, off)
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

@@ -46,6 +46,12 @@ def test_language_filter_keeps_the_rest_as_it_was(languages):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {1000, 1001, 1002}
 
 
+def test_language_filter_drops_no_text_for_want_of_labels(languages):
+    rows, df = languages
+    kept = langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {1000, 1001, 1002}
+
+
 def test_language_with_little_to_learn(languages):
     _, df = languages
     none = langid.identify(df.withColumn("lang", F.lit(None).cast("string")))
