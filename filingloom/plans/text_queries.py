@@ -188,6 +188,27 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(A.table(spark, d, "pages").select("page_id", "html"), "page_id").select("accession", "html")
 
 
+def _all_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The HTML of filings, dealt over all pages: order key modulo the number of pages is the page's rank."""
+    pages = A.table(spark, d, "pages").select("page_id", "html").withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(256)))
+    sizes = {r["part"]: r["count"] for r in pages.groupBy("part").count().collect()}
+    starts, n = [], 0
+    for part in sorted(sizes):
+        starts.append((part, n))
+        n += sizes[part]
+    ranked = A.with_ordinal(pages, "part", "page_id", "place").join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
+    orders = A.table(spark, d, "orders").select(F.concat(F.lit("00-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("accession"), F.pmod("o_orderkey", F.lit(max(n, 1))).alias("rank"))
+    return orders.join(ranked.select((F.col("start") + F.col("place") - 1).alias("rank"), "html"), "rank").select("accession", "html")
+
+
+def _results(sections: DataFrame, **others: DataFrame) -> DataFrame:
+    """Sections with the hash of their body, and the rows of the other results, each named."""
+    rows = sections.withColumn("body_sha256", F.sha2("body", 256)).drop("body").withColumn("result", F.lit("section"))
+    for name, found in others.items():
+        rows = rows.unionByName(found.withColumn("result", F.lit(name)), allowMissingColumns=True)
+    return rows
+
+
 @query(f"WITH {A.FILINGS}, {A.PROFILES}, {A.plan_sql(A.AS_OF)} SELECT p.accession, p.kind, sha256(g.html) AS html_sha256 FROM plan p JOIN orders o ON p.accession = '00-' || lpad(o.o_orderkey::VARCHAR, 12, '0') JOIN pages g ON g.page_id = o.o_orderkey % 97")
 def attach_documents(spark: SparkSession, d: str) -> DataFrame:
     return P.attach_documents(_roled(spark, d), _documents(spark, d)).select("accession", "kind", F.sha2("html", 256).alias("html_sha256"))
@@ -195,13 +216,14 @@ def attach_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def process_filings(spark: SparkSession, d: str) -> DataFrame:
-    return C.process_filings(_roled(spark, d), _documents(spark, d))[0].drop("body")
+    sections, errors = C.process_filings(_roled(spark, d), _all_documents(spark, d))
+    return _results(sections, error=errors)
 
 
 @query()
 def build_corpus(spark: SparkSession, d: str) -> DataFrame:
-    _, manifest, _ = C.build_corpus(A.profiles(spark, d), A.filings(spark, d), _documents(spark, d), A.AS_OF)
-    return manifest
+    sections, manifest, errors = C.build_corpus(A.profiles(spark, d), A.filings(spark, d), _all_documents(spark, d), A.AS_OF)
+    return _results(sections, manifest=manifest, error=errors)
 
 
 @query()

@@ -43,3 +43,14 @@ def test_refresh_from_a_build_and_again(spark, tmp_path):
     s2, m2, none = C.refresh_corpus(p, f, d, m1, s1, "1998-06-30")
     assert none.count() == 0 and s2.count() == s1.count() and m2.count() == m1.count()
     assert M.refresh_summary(changes).first().n_errors == 0
+
+
+def test_documents_are_dealt_over_all_pages(spark):
+    from filingloom.plans import text_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    found = Q._all_documents(spark, d)
+    assert found.count() == spark.read.parquet(f"{d}/orders.parquet").count()
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("html")
+    assert pages.join(found, "html", "left_anti").count() == 0
+    assert {"section", "manifest"} <= {r.result for r in Q.build_corpus(spark, d).select("result").distinct().collect()}
