@@ -5,10 +5,11 @@ Each byte is eight binary decisions; every decision has Krichevsky-Trofimov
 estimates in the nodes of a tree of contexts, the last 0 to ``DEPTH`` bytes, and
 context-tree weighting mixes the estimates of all depths. The counts come from
 all training documents; then the tree is fixed and texts are scored in parallel.
+Below the tree, in contexts that training never met, a decision is even.
 
 Every context of the training texts is a node, so the tree grows with the corpus
-and no machine holds it. Documents are encoded in chunks of about
-``CHUNK_TOKENS`` tokens; a chunk tells its distinct strings of ``DEPTH`` + 1
+and no machine holds it. Documents are encoded in chunks of about ``CHUNK_BYTES``;
+a chunk tells its distinct strings of ``DEPTH`` + 1
 bytes, with their training counts, by bucket: a hash of the ``TOP`` bytes before
 the last. A bucket holds whole subtrees below depth ``TOP``. It weights them bottom up
 and tells the sums; the driver weights the contexts of fewer than ``TOP`` bytes,
@@ -18,12 +19,13 @@ If a number of ``nodes`` is asked for, only the most frequent contexts (fewer
 where counts tie) are nodes; the rarer ones below a node share one leaf, "the
 others".
 
-Next to it stands the base, add-one word counts: counts are summed per token, and
-the sums go back to the chunks that asked.
+Next to it stands the base, add-one word counts: chunks ask for their words in the
+same way, by bucket of their hash.
 
 Edge cases: a null or empty text is its end alone; with nothing to learn from
 every bit is even; repeated rows are each counted and scored; a null doc_id is
-training data, crc32 being null; an empty table gives no rows.
+training data, crc32 being null; a text longer than a chunk is a chunk of its own,
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,56 +49,108 @@ DEPTH = 6
 #: Depth at which subtrees are dealt to buckets.
 TOP = 3
 BUCKETS = 4096
-CHUNK_TOKENS = 1_000_000
-CHUNK_BYTES = 8_000_000
+WORD_BUCKETS = 512
+#: Text of one chunk; the longer, the fewer strings are asked for a byte.
+CHUNK_BYTES = 32_000_000
+#: Keys that wait to be merged with a chunk's.
+PENDING = 1_000_000
 #: Strings of whole buckets that a task weights at once.
 HELD_GRAMS = 250_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
-def _padded(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with depth zeros around each; the places of their bytes and ends; where rows begin among those."""
-    n = len(off) - 1
-    lengths = np.diff(off)
-    shift = depth * (np.arange(n) + 1)
-    out = np.zeros(len(low) + depth * (n + 1), np.uint8)
-    for k in range(n):
-        out[off[k] + shift[k] : off[k + 1] + shift[k]] = low[off[k] : off[k + 1]]
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    places = np.arange(begins[-1]) + np.repeat(off[:-1] + shift - begins[:-1], lengths + 1)
-    return out, places, begins
-
-
 def _grams(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The string of each byte and end, the byte lowest, the nearest context byte next; where rows begin."""
-    text, places, begins = _padded(low, off, depth)
-    keys = np.zeros(len(places), np.int64)
+    n, lengths = len(off) - 1, np.diff(off)
+    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+    row = np.repeat(np.arange(n), lengths)
+    text = np.zeros(len(low) + depth * (n + 1) + 1, np.uint8)  # rows with depth zeros around each
+    text[np.arange(len(low)) + depth * (row + 1)] = low
+    every = np.zeros(len(text) - depth, np.int64)
     for d in range(depth + 1):
-        keys |= text[places - d].astype(np.int64) << (8 * d)
-    return keys, begins
+        every |= text[depth - d : len(text) - d].astype(np.int64) << (8 * d)
+    places = np.arange(begins[-1]) + np.repeat((depth - 1) * np.arange(n), lengths + 1)
+    return every[places], begins
+
+
+def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.uint16)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+class Tally:
+    """Distinct keys with counts, of runs merged as they come, so that only distinct keys are held."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
+    def add(self, keys: np.ndarray, cnt: np.ndarray) -> None:
+        self.runs.append((keys, cnt))
+        self.waiting += len(keys)
+        if self.waiting > PENDING:
+            self.merge()
 
-def _bucketed(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct strings by bucket and value, the bucket of each, and the place of each key among them."""
-    grams, at = np.unique(keys, return_inverse=True)
-    bucket = (mixed((grams >> 8 & (1 << 8 * top) - 1).view(np.uint64)) % np.uint64(BUCKETS)).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return grams[order], bucket[order], place[at]
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.runs) > 1:
+            keys, cnt = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+            self.runs.clear()
+            order = np.argsort(keys, kind="stable")  # merges sorted runs
+            keys, cnt = keys[order], cnt[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.runs = [(keys[first], np.add.reduceat(cnt, first))]
+        self.waiting = 0
+        return self.runs[0]
 
 
-def _pack(grams: np.ndarray, cnt: np.ndarray) -> bytes:
-    """Sorted strings and their counts, like bytes side by side."""
-    sides = [np.diff(grams, prepend=0), cnt.astype(np.int64)]
-    return zlib.compress(b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in sides), 1)
+class Places:
+    """The place of a key among distinct ones, by hash tables: keys that lose their slot go to a smaller next table."""
 
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            odd, bits = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables)), np.uint64(64 - max(4, int(2 * len(left)).bit_length()))
+            slot = (keys[left].view(np.uint64) * odd >> bits).astype(np.int64)
+            table = np.zeros(1 << 64 - int(bits), np.int32)
+            table[slot] = left
+            left = left[table[slot] != left]
+            self.tables.append((odd, bits, table))
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    sides = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 8, -1)
-    steps, cnt = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in sides)
-    return np.cumsum(steps), cnt
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Places of keys, all of which are there."""
+        found = np.zeros(len(asked), np.int32)
+        left = np.arange(len(asked))
+        for odd, bits, table in self.tables:
+            of = asked[left]
+            at = table[(of.view(np.uint64) * odd >> bits).astype(np.int64)]
+            found[left] = at
+            left = left[self.keys[at] != of]
+        return found
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, like bytes side by side."""
+    return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as steps."""
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -170,24 +226,24 @@ class Weights:
         return probability, weight, others
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(chunks, strings, counts, places of each chunk's strings) of some whole buckets; rows come by bucket."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(asking chunk, bucket and its packed keys), keys, counts, places of each one's keys, of some whole buckets; rows come by bucket."""
     held: list[tuple] = []
 
-    def merged() -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
-        grams, at = np.unique(np.concatenate([g for *_, g, _ in held]), return_inverse=True)
-        cnt = np.bincount(at, np.concatenate([c for *_, c in held]), len(grams))
-        return [(c, b) for c, b, *_ in held], grams, cnt, np.split(at, np.cumsum([len(g) for *_, g, _ in held])[:-1])
+    def merged() -> tuple:
+        keys, at = np.unique(np.concatenate([k for *_, k, _ in held]), return_inverse=True)
+        cnt = np.bincount(at, np.concatenate([c for *_, c in held]), len(keys))
+        return [x[:3] for x in held], keys, cnt, np.split(at, np.cumsum([len(k) for *_, k, _ in held])[:-1])
 
     size = 0
     for batch in batches:
-        for chunk, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "packed")), strict=True):
+        for chunk, bucket, keys, cnt in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "keys", "cnt")), strict=True):
             if size >= HELD_GRAMS and held[-1][1] != bucket:
                 yield merged()
                 held.clear()
                 size = 0
-            held.append((chunk, bucket, *_unpack(packed)))
-            size += len(held[-1][2])
+            held.append((chunk, bucket, keys, _unpack_keys(keys), _unpack(cnt)))
+            size += len(held[-1][3])
     if held:
         yield merged()
 
@@ -216,11 +272,37 @@ def _floor(asked: DataFrame, depth: int, nodes: int) -> int:
     return largest[-1] + 1 if len(largest) > nodes else 1
 
 
-def _string_scores(packed: DataFrame, depth: int, nodes: int | None) -> DataFrame:
-    """(chunk, bucket, logs): float32 log10 probabilities of the strings that a chunk has in a bucket, by value."""
-    spark = packed.sparkSession
+def _dealt(asked: DataFrame) -> DataFrame:
+    return asked.select("chunk", "bucket", "keys", "cnt").repartition("bucket").sortWithinPartitions("bucket", "chunk")
+
+
+_ANSWER = "chunk long, bucket int, keys binary, answer binary"
+
+
+def _answers(asking: list[tuple[int, int, bytes]], told: list[bytes]) -> list[pa.Array]:
+    chunk, bucket, keys = zip(*asking, strict=True)
+    return [pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(told, pa.binary())]
+
+
+def _word_counts(words: DataFrame) -> DataFrame:
+    """Answers with the training counts of the words that a chunk has in a bucket; for each bucket (n, v): counts and words of training."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "bucket", "keys", "answer", "n", "v"]
+        for asking, _, cnt, places in _whole_buckets(batches):
+            cnt = cnt.astype(np.int64)
+            sums = np.zeros((2, len(asking)), np.int64)
+            sums[:, 0] = cnt.sum(), (cnt > 0).sum()
+            yield pa.RecordBatch.from_arrays([*_answers(asking, [_pack(cnt[p]) for p in places]), *map(pa.array, sums)], names=names)
+
+    return _dealt(words).mapInArrow(count, _ANSWER + ", n long, v long")
+
+
+def _string_scores(strings: DataFrame, depth: int, nodes: int | None) -> DataFrame:
+    """Answers with float32 log10 probabilities of the strings that a chunk has in a bucket."""
+    spark = strings.sparkSession
     top = min(TOP, depth)
-    asked = packed.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    asked = _dealt(strings)
     floor = 1 if nodes is None else _floor(asked, depth, nodes)
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,124 +330,130 @@ def _string_scores(packed: DataFrame, depth: int, nodes: int | None) -> DataFram
                 at = np.searchsorted(above, found.keys)
                 one = found.descend(*(x[at] for x in known))[0][row]
                 logs += np.log10(np.where(grams >> (7 - bit) & 1, one, 1 - one))
-            out = [logs[p].astype("<f4").tobytes() for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in asking], pa.int64()), pa.array([b for _, b in asking], pa.int32()), pa.array(out, pa.binary())], names=["chunk", "bucket", "logs"])
+            out = [zlib.compress(logs[p].astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in places]
+            yield pa.RecordBatch.from_arrays(_answers(asking, out), names=["chunk", "bucket", "keys", "answer"])
+
+    return asked.mapInArrow(answer, _ANSWER)
+
+
+def _floats(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<f4").ravel()
+
 
-    return asked.mapInArrow(answer, "chunk long, bucket int, logs binary")
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with their lower-cased bytes and offsets."""
+    for rows, data, off in chunks(batches):
+        yield rows, lower_ascii(data), off
+
+
+def _tokens(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each row, words and one end, in turn; where rows begin among them."""
+    starts, ends = word_bounds(NOT_SPACE[low], off)
+    words = word_hashes(low, starts, ends)
+    first = np.searchsorted(starts, off)
+    begins = first + np.arange(len(first))
+    tokens = np.full(len(words) + len(off) - 1, _END)
+    is_word = np.ones(len(tokens), bool)
+    is_word[begins[1:] - 1] = False
+    tokens[is_word] = words
+    return tokens.view(np.int64), begins
 
 
 def _encoded(docs: DataFrame, depth: int) -> DataFrame:
-    """Per document: chunk, counts of the chunk's tokens and its bytes; per token of a chunk: its training count; per bucket of a chunk: its strings."""
+    """Per piece of a chunk: its documents, text compressed; per bucket of a chunk: its strings, or its words, and their training counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "doc_id", "held_out", "n_tokens", "low", "terms", "tok", "cnt", "bucket", "packed"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["kind", "chunk", "doc_ids", "held", "ends", "low", "bucket", "keys", "cnt"]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         context = TaskContext.get()
         chunk = (context.partitionId() if context else 0) << 32
-        gathered: list[tuple] = []
+        press = zstandard.ZstdCompressor(3).compress
+        strings, words, size = Tally(), Tally(), 0
 
-        def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            columns["chunk"] = pa.array(np.full(n, chunk))
+        def batch(n: int, kind: str, **columns: pa.Array) -> pa.RecordBatch:
+            columns |= {"kind": pa.array([kind] * n, pa.string()), "chunk": pa.array(np.full(n, chunk))}
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names=names)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate([t for *_, ts in gathered for t in ts])
-            toks, local = np.unique(tokens, return_inverse=True)
-            lengths = [len(t) for *_, ts in gathered for t in ts]
-            ids = [i for x, *_ in gathered for i in x]
-            held = np.concatenate([h for _, h, *_ in gathered])
-            cnt = np.bincount(local, np.repeat(~held, lengths), len(toks)).astype(np.int64)
-            terms = []
-            for part in np.split(local.astype(np.int32), np.cumsum(lengths)[:-1]):
-                used, times = np.unique(part, return_counts=True)
-                steps = np.diff(used, prepend=0)
-                terms.append(zlib.compress(np.concatenate([steps, times]).astype("<i4").tobytes(), 1))
-            lows = [low for _, _, lows, _, _ in gathered for low in lows]
-            yield batch(len(ids), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held), n_tokens=pa.array(lengths, pa.int64()), low=pa.array(lows, pa.binary()), terms=pa.array(terms, pa.binary()))
-            yield batch(len(toks), tok=pa.array(toks.view(np.int64)), cnt=pa.array(cnt))
-            grams, bucket, at = _bucketed(np.concatenate([g for *_, told, _ in gathered for g, _ in told]), min(TOP, depth))
-            seen = np.bincount(at, np.concatenate([c for *_, told, _ in gathered for _, c in told]), len(grams))
+        def dealt(kind: str, tally: Tally, bucket: np.ndarray) -> pa.RecordBatch:
+            keys, cnt = tally.merge()
+            order = np.argsort(bucket, kind="stable")
+            keys, cnt, bucket = keys[order], cnt[order], bucket[order]
             begins = np.flatnonzero(np.diff(bucket.astype(np.int32), prepend=-1))
-            packed = [_pack(grams[a:b], seen[a:b]) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(grams)], strict=True)]
-            yield batch(len(packed), bucket=pa.array(bucket[begins].astype(np.int32)), packed=pa.array(packed, pa.binary()))
-            gathered.clear()
-
-        size = held_bytes = 0
-        for rows, data, off in chunks(batches):
-            low = lower_ascii(data)
-            starts, ends = word_bounds(NOT_SPACE[low], off)
-            words = word_hashes(low, starts, ends)
-            first = np.searchsorted(starts, off)
-            texts = [np.concatenate([words[a:b], [_END]]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            spans = list(zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True))
+            packed = [pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for f, x in ((_pack_keys, keys), (_pack, cnt))]
+            return batch(len(spans), kind, bucket=pa.array(bucket[begins].astype(np.int32)), keys=packed[0], cnt=packed[1])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield dealt("strings", strings, _buckets_of(strings.merge()[0] >> 8 & (1 << 8 * min(TOP, depth)) - 1, BUCKETS))
+            yield dealt("words", words, _buckets_of(words.merge()[0], WORD_BUCKETS))
+
+        def told(tally: Tally, keys: np.ndarray, learnt: np.ndarray) -> None:
+            tally.add(*_distinct(keys[learnt]))
+            unseen, _ = _distinct(keys[~learnt])
+            tally.add(unseen, np.zeros(len(unseen), np.int64))
+
+        for rows, low, off in _pieces(batches):
             held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            grams, begins = _grams(low, off, depth)
-            learnt = np.repeat(~held, np.diff(begins))
-            unseen = np.unique(grams[~learnt])
-            told = [np.unique(grams[learnt], return_counts=True), (unseen, np.zeros(len(unseen), np.int64))]
-            lows = [zlib.compress(low[a:b].tobytes(), 1) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            gathered.append((rows.column("doc_id").to_pylist(), held, lows, told, texts))
-            size += len(words) + len(texts)
-            held_bytes += len(low)
-            if size >= CHUNK_TOKENS or held_bytes >= CHUNK_BYTES:
+            for tally, (keys, begins) in ((words, _tokens(low, off)), (strings, _grams(low, off, depth))):
+                told(tally, keys, np.repeat(~held, np.diff(begins)))
+            ids, of = rows.column("doc_id").cast(pa.int64()), pa.array([0, rows.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(of, x) for x in (ids, pa.array(held), pa.array(off[1:]))]
+            yield batch(1, "texts", doc_ids=lists[0], held=lists[1], ends=lists[2], low=pa.array([press(low.tobytes())], pa.binary()))
+            size += len(low)
+            if size >= CHUNK_BYTES:
                 yield from flush()
-                chunk, size, held_bytes = chunk + 1, 0, 0
-        if gathered:
+                strings, words, size, chunk = Tally(), Tally(), 0, chunk + 1
+        if strings.runs:
             yield from flush()
 
-    schema = "chunk long, doc_id long, held_out boolean, n_tokens long, low binary, terms binary, tok long, cnt long, bucket int, packed binary"
+    schema = "kind string, chunk long, doc_ids array<long>, held array<boolean>, ends array<long>, low binary, bucket int, keys binary, cnt binary"
     return docs.select("doc_id", "text", "held_out").mapInArrow(scan, schema)
 
 
-def _distinct(low: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct strings of some rows, which of them stands at each place, where rows begin."""
-    keys, begins = _grams(low, off, depth)
-    grams, at = np.unique(keys, return_inverse=True)
-    return grams, at.astype(np.int32), begins
-
-
-def _inflated(docs: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The kept texts, in batches of bounded rows."""
-    for batch in docs.select(["low"]).to_batches(max_chunksize=512):
-        texts = pa.array([zlib.decompress(x) for x in batch.column("low").to_pylist()], pa.large_binary())
-        yield pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], names=["text"])
+def _unpressed(pieces: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of each piece."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    for low, ends in zip(pieces.column("low"), pieces.column("ends"), strict=True):
+        yield np.frombuffer(unpress(low.as_py()), np.uint8), np.concatenate([[0], ends.values.to_numpy()])
 
 
 def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows held out are not learnt from."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row; rows held out are not learnt from.
+
+    ``bits_per_byte`` is the code length: minus the score in bits by the text's bytes and its end.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     marked = docs.select("doc_id", "text", (crc_rule(7, 2) if held_out is None else held_out).alias("held_out"))
-    encoded = scratch.write(_encoded(marked, depth), "encoded")
-    strings = scratch.write(_string_scores(encoded.filter("bucket is not null").select("chunk", "bucket", "packed"), depth, nodes), "strings")
-    asked = encoded.filter("tok is not null").select("chunk", "tok", "cnt")
-    counts = asked.groupBy("tok").agg(F.sum("cnt").alias("c"))
-    counts = scratch.write(counts, "counts")
-    totals = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    encoded = scratch.write(_encoded(marked, depth), "encoded", "kind")
+    of = {kind: encoded.filter(F.col("kind") == kind) for kind in ("texts", "words", "strings")}
+    words = scratch.write(_word_counts(of["words"]), "words")
+    strings = scratch.write(_string_scores(of["strings"], depth, nodes), "strings")
+    for kind in ("words", "strings"):
+        scratch.drop(f"encoded/kind={kind}")
+    totals = words.agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
-    known = asked.join(counts, "tok").select(F.col("chunk").alias("asked_by"), "tok", "c")
-    answers = known.unionByName(strings.withColumnRenamed("chunk", "asked_by"), allowMissingColumns=True)
-    texts = encoded.filter("n_tokens is not null").select("chunk", "doc_id", "held_out", "n_tokens", "low", "terms")
-
-    def scored(key, tables_docs: pa.Table, tables_answers: pa.Table) -> pa.Table:
-        is_string = tables_answers.column("tok").is_null()
-        words = tables_answers.filter(tables_answers.column("tok").is_valid())
-        toks = words.column("tok").to_numpy().view(np.uint64)
-        c = words.column("c").to_numpy()[np.argsort(toks)]
-        logs = np.log10((c + 1) / (n + v + 1))
-        scores, known = [], []
-        for terms in tables_docs.column("terms").to_pylist():
-            steps, times = np.frombuffer(zlib.decompress(terms), "<i4").reshape(2, -1)
-            used = np.cumsum(steps)
-            scores.append(float((times * logs[used]).sum()))
-            known.append(int(times[c[used] > 0].sum()))
-        by_bucket = tables_answers.filter(is_string).select(["bucket", "logs"]).sort_by("bucket").column("logs").to_pylist()
-        logs = np.frombuffer(b"".join(by_bucket), "<f4")
-        pieces = [_distinct(low, off, depth) for _, low, off in chunks(_inflated(tables_docs))]
-        place = _bucketed(np.concatenate([g for g, *_ in pieces]), min(TOP, depth))[2]
-        places = np.split(place, np.cumsum([len(g) for g, *_ in pieces])[:-1])
-        tree = np.concatenate([np.add.reduceat(logs[p][at].astype(float), begins[:-1]) for p, (_, at, begins) in zip(places, pieces, strict=True)])
-        out = [tables_docs.column(x) for x in ("doc_id", "held_out", "n_tokens")]
-        return pa.table([*out, pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(scores, pa.float64()), pa.array(tree)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(answers.groupBy("asked_by")).applyInArrow(scored, schema)
+    answers = words.drop("n", "v").withColumn("of", F.lit("words")).unionByName(strings.withColumn("of", F.lit("strings"))).withColumnRenamed("chunk", "asked_by")
+    pieces = of["texts"].select("chunk", "doc_ids", "held", "ends", "low")
+
+    def scored(key, pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        def found(kind: str, unpack) -> tuple[Places, np.ndarray]:
+            rows = answers.filter(pc.equal(answers.column("of"), kind))
+            return Places(np.concatenate([_unpack_keys(x) for x in rows.column("keys").to_pylist()])), np.concatenate([unpack(x) for x in rows.column("answer").to_pylist()])
+
+        (words, c), (strings, logs) = found("words", _unpack), found("strings", _floats)
+        base, known = np.log10((c + 1) / (n + v + 1)), (c > 0).astype(np.int64)
+        out = []
+        for (low, off), ids, held in zip(_unpressed(pieces), pieces.column("doc_ids"), pieces.column("held"), strict=True):
+            tokens, begins = _tokens(low, off)
+            at = words.find(tokens)
+            base_sum, known_sum = (np.add.reduceat(x[at], begins[:-1]) for x in (base, known))
+            keys, bytes_begin = _grams(low, off, depth)
+            tree = np.add.reduceat(logs[strings.find(keys)], bytes_begin[:-1], dtype=float)
+            sizes = np.diff(begins)
+            out.append(pa.record_batch([ids.values, held.values, pa.array(sizes), pa.array(known_sum), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base_sum), pa.array(tree), pa.array(-tree * np.log2(10) / np.diff(bytes_begin))], names=columns))
+        return pa.Table.from_batches(out)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return pieces.groupBy("chunk").cogroup(answers.groupBy("asked_by")).applyInArrow(scored, schema)
