@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from filingloom.llm import pii
@@ -82,3 +83,105 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.span_digests(df).count() == 0
     assert pii.span_digests(df).filter(F.lit(True)).columns[:2] == ["doc_id", "n_email"]
+
+
+def secret_texts():
+    rng = random.Random(4)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    forms = [
+        lambda: f'token = "{pick("0123456789abcdef", 40)}"',
+        lambda: f"password={pick('0123456789abcdef', 18)}",
+        lambda: "AKIA" + pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567", 16),
+        lambda: pick("0123456789abcdef", 40),
+        lambda: "chapter-" + pick("0123456789", 2) + "-of-the-long-book-about-" + pick("xyz", 4),
+        lambda: f"{pick('123456789', 2)} 4539578763621486",
+        lambda: f"card 77 {pick('0123456789', 16)}",
+        lambda: "(555) 382-4000",
+        lambda: "call (212) 382-" + pick("0123456789", 4),
+        lambda: "user [at] host.org and a@b.co",
+        lambda: "10.0.0." + pick("0123456789", 3),
+        lambda: "+1 (743) 555-3824 " + pick("0123456789", 16),
+    ]
+    return [" ".join(x for _ in range(rng.randrange(1, 5)) for x in (pick("abc", 3), rng.choice(forms)())) for _ in range(400)]
+
+
+def plain_candidates(text):
+    """Candidates with features and labels, one loop for each generator."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def passes(kind, m):
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        n = len(digits(m))
+        return kind == "email" or (13 <= n <= 19 and luhn(digits(m)) if kind == "card" else 9 <= n <= 15)
+
+    def matches(s, pattern, offset=0, lead=""):
+        out, at = [], 0
+        found = list(regex.finditer(pattern, s))
+        for k, m in enumerate(found):
+            gap, nxt = s[at : m.start()], s[m.end() : found[k + 1].start() if k + 1 < len(found) else len(s)]
+            out.append((offset + m.start(), offset + m.end(), m[0], gap[-pii.BEFORE :] if gap else lead if offset else "", nxt[:1]))
+            at = m.end()
+        return out
+
+    def side(c):
+        return 0 if not c.strip() else 1 if c.isdigit() else 2 if c.isalpha() else 3 if c in "\"'`" else 4
+
+    found = [(k, "base", m) for k in pii.KINDS for m in matches(text, pii.BASE[k])]
+    for name, kind, pattern in pii.INSIDE:
+        found += [(kind, name, x) for k, g, m in list(found) if k == kind and g == "base" and not passes(kind, m[2]) for x in matches(m[2], pattern, m[0], m[3])]
+    found += [(kind, name, m) for name, kind, pattern, _ in pii.OUTSIDE for m in matches(text, pattern)]
+    out = []
+    for kind, name, (a, b, m, before, after) in found:
+        secret, national = kind == "secret", name == "phone_national"
+        cued, n = bool(regex.search(pii.CUES, before)), len(digits(m))
+        valid = n == 10 if national else secret or passes(kind, m)
+        label = bool(regex.search(r"(?i)[.\])\x20][a-z]{2,24}$", m)) if kind == "email" else bool(regex.search(f"{pii._ASSIGNED}$", before) or regex.match(pii.ISSUERS, m)) if secret else cued if national else valid
+        mask = lambda ps: sum(1 << k for k, p in enumerate(ps) if re.search(p, m))
+        letters = mask(["[a-f]", "[A-F]", "[g-z]", "[G-Z]"]) if secret else 0
+        separators = mask(["[+/_=-]"] if secret else [" ", "-", "[.]", r"[(\[]"])
+        features = [pii.ALL_KINDS.index(kind), min(n, 24), min(len(m) // 4, 12), letters, separators, side(before[-1:]), side(after), 2 if secret or national else int(cued)]
+        out.append(dict(zip(pii.FEATURES, features)) | {"generator": pii.GENERATORS.index(name), "start": a, "end": b, "valid": valid, "label": label})
+    return out
+
+
+def test_added_spans_match_brute_force(spark):
+    texts = secret_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    half = {r.doc_id: r.half for r in df.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    found = {i: plain_candidates(t) for i, t in enumerate(texts)}
+    rows = {}
+    for i, cs in found.items():
+        for c in cs:
+            row = rows.setdefault(tuple(c[f] for f in pii.FEATURES), {"good": 0, "bad": 0, "held_good": 0, "held_bad": 0})
+            row["held_" * half[i] + ("good" if c["label"] else "bad")] += 1
+    trees = pii.fit([dict(zip(pii.FEATURES, k)) | v for k, v in sorted(rows.items())])
+    got = {r.doc_id: r.spans for r in pii.span_digests(df).collect()}
+    added, planted, caught = 0, 0, 0
+    for i, t in enumerate(texts):
+        base = [(pii.KINDS.index(k), a, b) for k, a, b in brute(t)]
+        chosen = [c | {"score": trees.score(c)} for c in found[i] if c["generator"] and c["valid"]]
+        chosen = [c for c in chosen if c["score"] >= trees.thresholds[c["kind"]] and all(c["end"] <= a or c["start"] >= b for _, a, b in base)]
+        kept = []
+        for c in sorted(chosen, key=lambda c: (c["start"], c["generator"])):
+            if kept and c["start"] < kept[-1]["end"]:
+                if c["score"] > kept[-1]["score"]:
+                    kept[-1] = c
+            else:
+                kept.append(c)
+        want = sorted(base + [(c["kind"], c["start"], c["end"]) for c in kept])
+        assert got[i] == ",".join(f"{pii.ALL_KINDS[k]}:{a}:{b}" for k, a, b in want), t
+        added += len(kept)
+        secrets = {(m.start(), m.end()) for m in re.finditer(r'(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}|AKIA[A-Z0-9]{16}', t)}
+        planted += len(secrets)
+        caught += len(secrets & {(c["start"], c["end"]) for c in kept})
+    assert added > 100 and caught >= 0.95 * planted
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    rows = [(7, "token = 'abc123def456abc123def456' x@y.org", "a", 1), (7, "token = 'abc123def456abc123def456' x@y.org", "b", 2)] * 6 + [(None, "x@y.org", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __found string, score long")
+    got = pii.span_digests(df).collect()
+    assert len(got) == 13 and len({r.spans for r in got if r.doc_id == 7}) == 1
+    masked = pii.redact(df)
+    assert masked.columns == df.columns and masked.count() == 13
