@@ -1,19 +1,22 @@
 """Benchmark decontamination with a broadcast set of hashed word windows.
 
 A window is ``WINDOW`` consecutive words of a benchmark item (a shorter item is
-one window). The distinct windows are hashed on the executors and gathered, in
-blocks of at most ``BLOCK_WINDOWS`` (about 16 bytes each, so a broadcast has a
-fixed size however large the benchmark is); the documents are scanned once per
-block and the hits of a document merged. Every hash hit is verified against the
-window's words before it counts.
+one window). The distinct windows are hashed on the executors and gathered as
+64-bit hashes with 128-bit digests of their words, 24 bytes each, in blocks of at
+most ``BLOCK_WINDOWS``, so a broadcast has a fixed size however large the benchmark
+is; the documents are scanned once per block and the hits of a document merged. Every
+hash hit is verified by the digest of the document's own words before it counts.
+Items are found by a join on the digests of documents with hits.
 
 Edge cases: null and empty texts have no words; items without words are never
 hit; repeated documents each get a row; repeated items and items with equal
-texts are each reported; an empty benchmark leaves every document clean.
+texts are each reported, those without an item_id are hit but not listed; an empty
+benchmark leaves every document clean; doc_id is a number.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -39,113 +42,115 @@ def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return low, starts, ends, np.searchsorted(starts, off)
 
 
+def _digest(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """128 bits of some words."""
+    return hashlib.blake2b(b" ".join(low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)), digest_size=16).digest()
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct (h, size, words, item_id): every window of every item."""
+    """Distinct (h, size, digest, item_id): every window of every item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches):
             low, starts, ends, first = _spans(data, off)
             hashes = word_hashes(low, starts, ends)
-            raw = low.tobytes()
-            found: dict[str, list] = {"h": [], "size": [], "words": [], "item_id": []}
+            found: dict[str, list] = {"h": [], "size": [], "digest": [], "item_id": []}
             for k, item in enumerate(rows.column("item_id").to_pylist()):
                 a, b = int(first[k]), int(first[k + 1])
                 size = min(window, b - a)
-                for i in range(a, b - size + 1) if size else ():
-                    found["h"].append(int(window_hashes(hashes[i : i + size], size)[0].astype(np.int64)))
-                    found["size"].append(size)
-                    found["words"].append(b" ".join(raw[s:e] for s, e in zip(starts[i : i + size], ends[i : i + size], strict=True)))
-                    found["item_id"].append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(found["h"], pa.int64()), pa.array(found["size"], pa.int32()), pa.array(found["words"], pa.binary()), pa.array(found["item_id"], rows.schema.field("item_id").type)], names=list(found))
+                if not size:
+                    continue
+                found["h"].extend(window_hashes(hashes[a:b], size).view(np.int64).tolist())
+                found["digest"].extend(_digest(low, starts[i : i + size], ends[i : i + size]) for i in range(a, b - size + 1))
+                found["size"].extend([size] * (b - a - size + 1))
+                found["item_id"].extend([item] * (b - a - size + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(found["h"], pa.int64()), pa.array(found["size"], pa.int32()), pa.array(found["digest"], pa.binary()), pa.array(found["item_id"], rows.schema.field("item_id").type)], names=list(found))
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", "text").mapInArrow(cut, f"h long, size int, words binary, item_id {kind}").distinct()
-
-
-def _scanner(windows: dict[int, dict[int, list[tuple[bytes, list]]]]):
-    """Function (low, starts, ends, hashes) of one text -> word spans [a, b) that are windows, and their items."""
-    sets = {size: np.sort(np.array(list(by), np.int64)) for size, by in windows.items()}
-    bits = 22
-    seen = {}
-    for size, hs in sets.items():
-        seen[size] = np.zeros(1 << bits, bool)
-        seen[size][hs.view(np.uint64) >> np.uint64(64 - bits)] = True
-
-    def candidates(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        h = window_hashes(hashes, size)
-        at = np.flatnonzero(seen[size][h >> np.uint64(64 - bits)])
-        if len(at):
-            near = h[at].view(np.int64)
-            where = np.minimum(np.searchsorted(sets[size], near), len(sets[size]) - 1)
-            at = at[sets[size][where] == near]
-        return at, h
-
-    def scan(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, list]]:
-        """(row, first word, last word + 1, items) of each verified window, words counted within the row."""
-        for size in sets:
-            at, h = candidates(hashes, size)
-            if not len(at):
-                continue
+    return benchmark.select("item_id", "text").mapInArrow(cut, f"h long, size int, digest binary, item_id {kind}").distinct()
+
+
+#: By size of window: hashes ascending, and the digests of their windows.
+Windows = dict[int, tuple[np.ndarray, np.ndarray]]
+_BITS = np.uint64(22)
+
+
+def _scanner(windows: Windows):
+    """Function of some rows' words -> verified windows in them."""
+    marked = np.zeros(1 << int(_BITS), bool)  # all sizes share it: a hash knows its size
+    for hs, _ in windows.values():
+        marked[hs >> np.uint64(64) - _BITS] = True
+
+    def scan(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        """(row, first word, last word + 1, digest) of each verified window, words counted within the row."""
+        hashes = word_hashes(low, starts, ends)
+        for size, (known, digests) in windows.items():
+            h = window_hashes(hashes, size)
+            at = np.flatnonzero(marked[h >> np.uint64(64) - _BITS])
+            left, right = np.searchsorted(known, h[at]), np.searchsorted(known, h[at], "right")
             row = np.searchsorted(first, at, "right") - 1
-            inside = at + size <= first[row + 1]
-            for i, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
-                words = b" ".join(low[s:e].tobytes() for s, e in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                for known, items in windows[size][int(h[i : i + 1].view(np.int64)[0])]:
-                    if known == words:
-                        yield r, i - int(first[r]), i - int(first[r]) + size, items
+            real = (left < right) & (at + size <= first[row + 1])
+            for i, r, x, y in zip(*(v[real].tolist() for v in (at, row, left, right)), strict=True):
+                digest = _digest(low, starts[i : i + size], ends[i : i + size])
+                if any(digest == d.tobytes() for d in digests[x:y]):
+                    yield r, i - int(first[r]), i - int(first[r]) + size, digest
 
     return scan
 
 
-def _blocks(spark, benchmark: DataFrame, window: int, block: int):
-    """Broadcast window sets, each of at most about ``block`` rows, that together hold every window."""
-    found = Scratch(spark).write(benchmark_windows(benchmark, window), "windows")
-    n = found.count()
-    parts = max(1, -(-n // block))
+def _blocks(found: DataFrame, block: int):
+    """Broadcast window sets, each of at most about ``block`` rows, that together hold every window of a written table."""
+    distinct = found.select("h", "size", "digest").distinct()
+    parts = max(1, -(-distinct.count() // block))
     for k in range(parts):
-        part = found if parts == 1 else found.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == k)
-        by: dict[int, dict[int, list[tuple[bytes, list]]]] = {}
-        for r in part.groupBy("h", "size", "words").agg(F.collect_set("item_id").alias("items")).collect():
-            by.setdefault(r["size"], {}).setdefault(r["h"], []).append((bytes(r["words"]), r["items"]))
-        yield spark.sparkContext.broadcast(by)
+        part = distinct if parts == 1 else distinct.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == k)
+        table = part.toArrow()
+        h, size = table.column("h").to_numpy().view(np.uint64), table.column("size").to_numpy()
+        digest = np.array(table.column("digest").to_pylist(), dtype="V16")
+        order = np.argsort(h)
+        of = {int(n): order[size[order] == n] for n in np.unique(size)}
+        yield found.sparkSession.sparkContext.broadcast({n: (h[at], digest[at]) for n, at in of.items()})
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, item_ids (sorted strings)."""
-    spark = docs.sparkSession
-    schema = "doc_id long, n_words long, hits array<int>, item_ids array<string>"
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.write(benchmark_windows(benchmark, window), "windows")
+    schema = "row long, doc_id long, n_words long, hits array<int>, digests array<binary>"
     passes = []
-    for told in _blocks(spark, benchmark, window, block):
+    for told in _blocks(windows, block):
 
         def scan_all(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             scan = _scanner(told.value)
             for rows, data, off in chunks(batches):
                 low, starts, ends, first = _spans(data, off)
                 hits: list[set] = [set() for _ in range(rows.num_rows)]
-                items: list[set] = [set() for _ in range(rows.num_rows)]
-                for r, a, b, found in scan(low, starts, ends, word_hashes(low, starts, ends), first):
+                digests: list[set] = [set() for _ in range(rows.num_rows)]
+                for r, a, b, digest in scan(low, starts, ends, first):
                     hits[r].update(range(a, b))
-                    items[r].update(map(str, found))
+                    digests[r].add(digest)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array([sorted(x) for x in hits], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hits", "item_ids"],
+                    [rows.column("row"), rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array([sorted(x) for x in hits], pa.list_(pa.int32())), pa.array([sorted(x) for x in digests], pa.list_(pa.binary()))],
+                    names=["row", "doc_id", "n_words", "hits", "digests"],
                 )
 
         passes.append(scan_all)
-    texts = docs.select("doc_id", "text")
-    if len(passes) == 1:
-        return texts.mapInArrow(passes[0], schema).select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "item_ids")
-    keyed = Scratch(spark).write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    if len(passes) > 1:
+        keyed = scratch.write(keyed, "rows")
     every = None
     for scan_all in passes:
-        part = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(scan_all, schema)
+        part = keyed.mapInArrow(scan_all, schema)
         every = part if every is None else every.unionByName(part)
-    merged = every.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return keyed.select("row", "doc_id").join(merged, "row").drop("row")
+    if len(passes) > 1:
+        union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), union("hits"), union("digests"))
+    every = scratch.write(every.select("row", "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "digests"), "hits")
+    clean = every.filter("n_hit = 0").select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("item_ids"))
+    named = windows.filter("item_id is not null").select("digest", F.col("item_id").cast("string").alias("item")).distinct()
+    of = every.filter("n_hit > 0").select("row", F.explode("digests").alias("digest")).join(named, "digest").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    hit = every.filter("n_hit > 0").join(of, "row", "left")
+    return clean.unionByName(hit.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
@@ -175,47 +180,43 @@ def _without(text: str, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 _HITS = "_window_places"
 
 
-def _with_hits(docs: DataFrame, told) -> DataFrame:
-    """docs, the places of words in windows of one block added to those found before."""
+def _hits_of(told):
+    """Function of batches that adds the places of words in windows of one block to those found before."""
 
     def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scanner(told.value)
         for rows, data, off in chunks(batches):
             low, starts, ends, first = _spans(data, off)
             hits = [set(x) for x in rows.column(_HITS).to_pylist()]
-            for r, a, b, _ in scan(low, starts, ends, word_hashes(low, starts, ends), first):
+            for r, a, b, _ in scan(low, starts, ends, first):
                 hits[r].update(range(a, b))
             found = pa.array([sorted(x) for x in hits], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([found if c == _HITS else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
 
-    return docs.mapInArrow(scan_all, docs.schema)
-
-
-def _cut(docs: DataFrame) -> DataFrame:
-    """docs without the words at the places found; those left without a word go."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in chunks(batches):
-            hits = rows.column(_HITS).to_pylist()
-            if not any(hits):
-                yield rows
-                continue
-            texts = rows.column("text").to_pylist()
-            keep = np.ones(rows.num_rows, bool)
-            for r in (r for r, places in enumerate(hits) if places):
-                _, starts, ends, _ = _spans(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]))
-                gone = np.zeros(len(starts), bool)
-                gone[hits[r]] = True
-                texts[r] = _without(texts[r], gone, starts, ends)
-                keep[r] = bool(_WORD.search(lower_ascii(np.frombuffer(texts[r].encode(), np.uint8)).tobytes()))
-            new = {"text": texts}
-            if "n_chars" in rows.schema.names:
-                counts = rows.column("n_chars").to_pylist()
-                new["n_chars"] = [len(texts[r]) if hits[r] else n for r, n in enumerate(counts)]
-            columns = [pa.array(new[f.name], f.type) if f.name in new else rows.column(k) for k, f in enumerate(rows.schema)]
-            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(cut, docs.schema)
+    return scan_all
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without the words at the places found; those left without a word go."""
+    for rows, data, off in chunks(batches):
+        hits = rows.column(_HITS).to_pylist()
+        if not any(hits):
+            yield rows
+            continue
+        texts = rows.column("text").to_pylist()
+        keep = np.ones(rows.num_rows, bool)
+        for r in (r for r, places in enumerate(hits) if places):
+            _, starts, ends, _ = _spans(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]))
+            gone = np.zeros(len(starts), bool)
+            gone[hits[r]] = True
+            texts[r] = _without(texts[r], gone, starts, ends)
+            keep[r] = bool(_WORD.search(lower_ascii(np.frombuffer(texts[r].encode(), np.uint8)).tobytes()))
+        new = {"text": texts}
+        if "n_chars" in rows.schema.names:
+            counts = rows.column("n_chars").to_pylist()
+            new["n_chars"] = [len(texts[r]) if hits[r] else n for r, n in enumerate(counts)]
+        columns = [pa.array(new[f.name], f.type) if f.name in new else rows.column(k) for k, f in enumerate(rows.schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(keep))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
@@ -226,14 +227,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     they are. ``n_chars``, where there is one, follows a changed text.
     """
     scratch = Scratch(docs.sparkSession)
-    blocks = list(_blocks(docs.sparkSession, benchmark, window, block))
+    blocks = list(_blocks(scratch.write(benchmark_windows(benchmark, window), "windows"), block))
     none = F.array().cast("array<int>")
     done, left = None, docs
     while True:
         marked = left.withColumn(_HITS, none)
-        for told in blocks:
-            marked = _with_hits(marked, told)
-        table = scratch.write(_cut(marked), f"round-{uuid.uuid4().hex}")
+        for told in blocks[:-1]:
+            marked = marked.mapInArrow(_hits_of(told), marked.schema)
+        last = _hits_of(blocks[-1])
+        marked = marked.mapInArrow(lambda batches, last=last: _cut(last(batches)), marked.schema)
+        table = scratch.write(marked, f"round-{uuid.uuid4().hex}")
         clean = table.filter(F.size(_HITS) == 0).drop(_HITS)
         done = clean if done is None else done.unionByName(clean)
         left = table.filter(F.size(_HITS) > 0).drop(_HITS)
