@@ -8,8 +8,8 @@ down, and what they leave is packed longest first, each gap taking the longest
 length that fits. The result is a list of runs ("the 1st to 500th piece of
 length 700 go to sequences 40, 41, ... at offset 3396"); each piece finds its
 run from its rank among the pieces of its length. Ranks are counted per
-(length, salt) and offset by the counts of lower salts, so a length shared by a
-third of all pieces is never in one task.
+(length, salt), as many salts as a length has pieces for, and offset by the counts of
+lower salts, so a length shared by a third of all pieces is never in one task.
 
 Edge cases: a null or empty text is the end token alone; a repeated row is
 packed as often as it occurs; an empty table gives no rows; other columns of the
@@ -18,6 +18,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -36,9 +37,9 @@ from filingloom.llm.scratch import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers, in each of two generations.
-CACHE_WORDS = 500_000
-#: Pieces of one salt, on average, when ranks are counted.
-SALT_ROWS = 200_000
+CACHE_WORDS = 200_000
+#: Pieces of one salt, at least and on average, when ranks are counted; more, the square root of all, where there are many.
+SALT_ROWS = 1000
 #: Distinct lengths tried as second and third member of a pattern.
 PARTNERS = 10
 
@@ -249,8 +250,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         hist[r["length"]] = r["count"]
     runs = plan_runs(hist, capacity)
-    salts = max(1, -(-int(hist.sum()) // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    per_salt = max(SALT_ROWS, math.isqrt(int(hist.sum())))
+    salts = [(int(n), int(-(-hist[n] // per_salt))) for n in np.flatnonzero(hist)]
+    told = F.broadcast(spark.createDataFrame(salts, "length long, salts long"))  # at most `capacity` rows
+    salted = pieces.join(told, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
