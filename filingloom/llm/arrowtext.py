@@ -8,13 +8,14 @@ whatever the row count; a single longer text is a chunk of its own, whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,6 +34,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later tasks, with all that they once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, most: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, data, off) of at most about ``limit`` bytes of text and ``most`` rows each."""
     for batch in batches:
@@ -44,6 +53,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             last = min(first + most, batch.num_rows, max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1))
             yield batch.slice(first, last - first), data[off[first] : off[last]], off[first : last + 1] - off[first]
             first = last
+        del batch, data, off
+    release()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -65,15 +76,20 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        del _POWERS[:]
-        for base in (_BASE, inverse):
+    """The first n powers of the hash base and of its inverse modulo 2^64; those for a chunk are kept, for longer texts not."""
+
+    def made(size: int) -> list[np.ndarray]:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, _U64(base), _U64)
             steps[0] = 1
-            _POWERS.append(np.multiply.accumulate(steps))
+            out.append(np.multiply.accumulate(steps))
+        return out
+
+    if n > 2 * CHUNK_BYTES:
+        return tuple(made(n))
+    if not _POWERS:
+        _POWERS.extend(made(2 * CHUNK_BYTES))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -99,7 +115,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, _U64)
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U64)
-    np.cumsum((data.astype(_U64) + _U64(1)) * power[:-1], out=sums[1:])
+    steps = data.astype(_U64)
+    steps += _U64(1)
+    steps *= power[:-1]
+    np.cumsum(steps, out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U64) * _U64(0xD6E8FEB86659FD93))
 
 

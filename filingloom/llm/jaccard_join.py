@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from filingloom.llm.arrowtext import NOT_SPACE, chunks, lower_ascii, mixed, window_hashes, word_bounds, word_hashes
+from filingloom.llm.arrowtext import NOT_SPACE, chunks, lower_ascii, mixed, release, window_hashes, word_bounds, word_hashes
 from filingloom.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -59,6 +59,8 @@ COUNT_ROWS = 2_000_000
 EARLIER = 16
 #: Prefix tokens of a bucket in which repeated ones are looked for.
 BUCKET_ROWS = 500_000
+#: Members of one pivot that are verified under one key.
+STAR_ROWS = 1000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -168,8 +170,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
     fixed-size Bloom filter keeps the others from the join.
     """
     spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = scratch.write(nodes.join(classes, "node").select("node", F.col("rep").alias("id")), f"{name}-ids")
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("pivot")), F.struct(F.col("b").alias("node"), F.lit(False).alias("pivot")))
+    nodes = pairs.select(F.inline(ends)).groupBy("node").agg(F.max("pivot").alias("pivot"))
+    asked = scratch.write(nodes.join(classes, "node").select("node", "pivot", F.col("rep").alias("id")), f"{name}-ids")
     told = spark.sparkContext.broadcast(bloom(asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +182,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), _nodes(sets), pa.array(texts, pa.binary())], names=["id", "node", "packed"])
 
     texts = docs.select("doc_id", "text").mapInArrow(scan, "id long, node long, packed binary")
-    held = scratch.write(texts.join(asked, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "packed"), f"{name}-texts")
-    both = pairs.join(held.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").join(held.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+    found = texts.join(asked.withColumnRenamed("id", "rep"), "node").filter("id = rep")
+    held = scratch.write(found.dropDuplicates(["node"]).select("node", "pivot", "packed"), f"{name}-texts")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).alias("shares"))  # the partners of one a are dealt to so many keys
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
+    pivots = held.filter("pivot").withColumnRenamed("node", "a").join(shares, "a").select("a", F.col("packed").alias("pa"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    both = dealt.join(held.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").join(pivots, ["a", "share"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last = zstandard.ZstdDecompressor().decompress, (None, None)
@@ -355,6 +362,7 @@ def _repeated(reps: DataFrame, frequent, classes: DataFrame, percent: int) -> Da
                 size = 0
         if size:
             yield from out()
+        release()
 
     def several(key, table):
         parts = []
@@ -362,15 +370,16 @@ def _repeated(reps: DataFrame, frequent, classes: DataFrame, percent: int) -> Da
             m = len(raw) // 17
             parts.append((_from_planes(raw[: 8 * m]), _from_planes(raw[8 * m : 16 * m]), np.frombuffer(raw[16 * m :], np.uint8)))
         tok, node, l = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, tok))
+        order = order[np.concatenate([[True], (np.diff(tok[order]) != 0) | (np.diff(node[order]) != 0)])]  # a repeated row counts once
+        tok, node, l = tok[order], node[order], l[order]
         if key[0].as_py() >= 0:
-            order = np.argsort(tok)
-            tok, node, l = tok[order], node[order], l[order]
             same = tok[1:] == tok[:-1]
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             tok, node, l = tok[keep], node[keep], l[keep]
         return pa.table({"tok": pa.array(tok.view(np.int64)), "node": pa.array(node.view(np.int64)), "l": pa.array(l.astype(np.int32))})
 
-    return reps.mapInArrow(deal, "bucket long, held binary").groupBy("bucket").applyInArrow(several, "tok long, node long, l int").distinct()
+    return reps.mapInArrow(deal, "bucket long, held binary").groupBy("bucket").applyInArrow(several, "tok long, node long, l int")
 
 
 def _candidates(apart: DataFrame, percent: int) -> DataFrame:
@@ -412,6 +421,8 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     met_by = blocks.groupBy("node").agg(F.count("*").cast("int").alias("u"))  # prefix tokens that any other node has
     posting = scratch.write(blocks.join(met_by.join(classes.select("node", "n"), "node"), "node").select("tok", "node", "n", "l", "u"), "postings")
 
+    scratch.drop("blocks")
+
     # 1. Every member of a block against its pivot, the one with the most tokens in common with others; of several pivots, the one met most.
     # Pivots come before their members in the order of (-u, node), so there are no cycles.
     first = F.min_by(F.struct("node", "n"), F.struct((-F.col("u")).alias("u"), "node"))
@@ -432,6 +443,8 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     again = scratch.write(_candidates(apart, percent), "candidates")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = scratch.write(again.join(done, ["a", "b"], "left_anti"), "apart-pairs")
+    for used in ("postings", "apart", "candidates"):
+        scratch.drop(used)
     if not again.isEmpty():
         more = _verified(docs, again, classes, size, percent, scratch, "apart-links")
         for end in "ab":  # the components that a link joins
