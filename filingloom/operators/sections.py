@@ -193,8 +193,11 @@ def _namer(form: str | None = None) -> Callable[[str, str, Column], Column]:
     return part
 
 
-def split_10k(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
-    """Section rows of annual reports."""
+#: Rows with helper columns, and the array of their parts.
+Parts = tuple[DataFrame, Column]
+
+
+def _annual(docs: DataFrame, trim_mda: bool = False) -> Parts:
     df = split_by_item(docs, ANNUAL_ITEMS)
     item8, item15 = _body("items", "8"), _body("items", "15")
     moved = item15.isNotNull() & (F.length(F.coalesce(item8, F.lit(""))) < 4 * MIN_SECTION)
@@ -212,11 +215,15 @@ def split_10k(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
         part("07_MDA", "Item 7/7A - MD&A and market risk", condense_mda(mda) if trim_mda else mda),
     )
     whole = part("Full", F.concat(F.col("form"), F.lit(" (unsplit)")), F.concat(F.lit("_Section splitting failed on this "), F.col("form"), F.lit("; full text kept._\n\n"), F.col("text")))
-    return _written(df, F.when(F.size("items") > 0, split).otherwise(F.array(whole)))
+    return df, F.when(F.size("items") > 0, split).otherwise(F.array(whole))
 
 
-def split_10q(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
-    """Section rows of quarterly reports: statements, notes and discussion of the first part."""
+def split_10k(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
+    """Section rows of annual reports."""
+    return _written(*_annual(docs, trim_mda))
+
+
+def _quarterly(docs: DataFrame, trim_mda: bool = False) -> Parts:
     named = F.transform(_segments(F.col("text"), PART_LINE), lambda s: F.struct(F.upper(F.regexp_extract(s, PART_NUMBER, 1)).alias("part"), F.length(s).alias("size"), s.alias("body")))
     df = docs.withColumn("__ones", F.filter(named, lambda p: (p["part"] == "I") & (p["size"] >= MIN_SECTION)))
     longest = F.array_max(F.transform("__ones", lambda p: p["size"]))
@@ -231,7 +238,12 @@ def split_10q(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
         part("MDA", "Part I Item 2 - MD&A", condense_mda(mda) if trim_mda else mda),
     )
     whole = part("Full", "10-Q (unsplit)", F.concat(F.lit(UNSPLIT.format("10-Q")), F.col("text")))
-    return _written(df, F.when(F.size("items") > 0, split).otherwise(F.array(whole)))
+    return df, F.when(F.size("items") > 0, split).otherwise(F.array(whole))
+
+
+def split_10q(docs: DataFrame, trim_mda: bool = False) -> DataFrame:
+    """Section rows of quarterly reports: statements, notes and discussion of the first part."""
+    return _written(*_quarterly(docs, trim_mda))
 
 
 def proxy_topics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -259,28 +271,55 @@ def proxy_topics(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("topics", F.array_compact(F.array(*(best(name) for name, _ in PROXY_TOPICS)))).drop("__hits")
 
 
-def split_proxy(docs: DataFrame) -> DataFrame:
-    """Section rows of proxy statements."""
+def _proxy(docs: DataFrame) -> Parts:
     label = period_label(F.col("report_date"), F.col("form"))
     named = lambda suffix: section_filename(F.col("ticker"), label, F.lit("DEF 14A"), suffix)
     split = F.transform("topics", lambda t: F.struct(named(t["name"]).alias("filename"), t["name"].alias("section"), t["body"].alias("body")))
-    whole = F.array(F.struct(named(F.lit("Full")).alias("filename"), F.lit("Proxy statement (unsplit)").alias("section"), F.concat(F.lit(UNSPLIT.format("proxy")), F.col("text")).alias("body")))
-    return _written(proxy_topics(docs), F.when(F.size("topics") > 0, split).otherwise(whole))
+    whole = F.struct(named(F.lit("Full")).alias("filename"), F.lit("Proxy statement (unsplit)").alias("section"), F.concat(F.lit(UNSPLIT.format("proxy")), F.col("text")).alias("body"))
+    return proxy_topics(docs), F.when(F.size("topics") > 0, split).otherwise(F.array(F.when(F.col("text").isNotNull(), whole)))
 
 
-def process_release(docs: DataFrame) -> DataFrame:
-    """Section rows of earnings releases: the whole text without the archive's head, if it is long enough."""
-    df = docs.withColumn("__body", peel_exhibit_header(F.col("text"))).filter(F.length("__body") >= 2 * MIN_SECTION)
+def split_proxy(docs: DataFrame) -> DataFrame:
+    """Section rows of proxy statements."""
+    return _written(*_proxy(docs))
+
+
+_RELEASE_FORM = "8-K Item 2.02 - earnings release (EX-99.1)"
+
+
+def _release(docs: DataFrame) -> Parts:
+    df = docs.withColumn("__body", peel_exhibit_header(F.col("text")))
     name = F.concat(F.col("ticker"), F.lit("_REL"), F.col("filed"), F.lit("_EarningsRelease.md"))
     part = F.struct(name.alias("filename"), F.lit("Earnings press release (full)").alias("section"), F.col("__body").alias("body"))
-    return _written(df, F.array(part), F.lit("8-K Item 2.02 - earnings release (EX-99.1)"), F.concat(F.lit("see headline (released "), F.col("filed"), F.lit(")")))
+    return df, F.array(F.when(F.length("__body") >= 2 * MIN_SECTION, part))
+
+
+def _released() -> Column:
+    return F.concat(F.lit("see headline (released "), F.col("filed"), F.lit(")"))
+
+
+def process_release(docs: DataFrame) -> DataFrame:
+    """Section rows of earnings releases: the whole text without the archive's head, if it is long enough."""
+    return _written(*_release(docs), F.lit(_RELEASE_FORM), _released())
 
 
 def split_filings(docs: DataFrame) -> DataFrame:
-    """Section rows of texts of every form, each by its own rule; anything unknown is cut like an annual report."""
-    routes = [(F.col("form") == "DEF 14A", split_proxy), (F.col("form") == "10-Q", split_10q), (F.col("form") == "8-K", process_release), (~F.col("form").isin("DEF 14A", "10-Q", "8-K"), split_10k)]
-    done = [split(docs.filter(mine)) for mine, split in routes]
-    return done[0].unionByName(done[1]).unionByName(done[2]).unionByName(done[3])
+    """Section rows of texts of every form, each by its own rule; anything unknown, and a missing form, is cut like an annual report.
+
+    One pass: a rule sees the texts of its own form and nulls for the others, which have no parts.
+    """
+    routes = {"DEF 14A": _proxy, "10-Q": _quarterly, "8-K": _release, "10-K": _annual}
+    form = F.coalesce("form", F.lit("10-K"))
+    rule = F.when(form.isin(*routes), form).otherwise("10-K")
+    df = docs.withColumns({"form": form, "__rule": rule, "__whole": F.col("text")})
+    columns = df.columns
+    for k, (name, route) in enumerate(routes.items()):
+        own, parts = route(df.withColumn("text", F.when(F.col("__rule") == name, F.col("__whole"))))
+        df = own.select(*columns, *(f"__parts_{i}" for i in range(k)), F.when(F.col("__rule") == name, parts).alias(f"__parts_{k}"))
+    is_release = F.col("__rule") == "8-K"
+    shown = F.when(is_release, F.lit(_RELEASE_FORM)).otherwise(F.col("form"))
+    period = F.when(is_release, _released()).otherwise(F.coalesce("report_date", F.lit("")))
+    return _written(df, F.coalesce(*(f"__parts_{k}" for k in range(len(routes)))), shown, period)
 
 
 def section_documents(sections: DataFrame, companies: DataFrame | None = None) -> DataFrame:

@@ -72,9 +72,9 @@ def filing_roles(spark: SparkSession, d: str) -> DataFrame:
     return O.filing_roles(_plan(spark, d)).select("ticker", "kind", "accession", "report_date", "business", "notes", "skip_business")
 
 
-@query("SELECT 't' || (o_custkey % 40 + 1) || CASE WHEN o_orderkey % 2 = 0 THEN '.b' ELSE '' END AS request, c_custkey AS cik, c_name AS company FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 40 + 1 AND o_orderkey % 2 = 1")
+@query("SELECT 't' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '.b' ELSE '' END AS request, c_custkey AS cik, c_name AS company FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 2 = 1")
 def lookup_company(spark: SparkSession, d: str) -> DataFrame:
-    key = (F.col("o_custkey") % 40 + 1).cast("string")
+    key = F.col("o_custkey").cast("string")
     requests = A.table(spark, d, "orders").select(F.concat(F.lit("t"), key, F.when(F.col("o_orderkey") % 2 == 0, ".b").otherwise("")).alias("request"))
     tickers = A.table(spark, d, "customer").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_custkey").alias("cik"), F.col("c_name").alias("company"))
     return O.lookup_company(requests, tickers).select("request", "cik", "company")

@@ -182,8 +182,9 @@ def _roled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """The HTML of planned filings: a page each, by turns."""
-    n = F.col("o_orderkey") % 97
+    """The HTML of planned filings: a page each, by turns over all pages."""
+    pages = A.table(spark, d, "pages").count()
+    n = F.col("o_orderkey") % F.lit(max(pages, 1))
     orders = A.table(spark, d, "orders").select(F.concat(F.lit("00-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("accession"), n.alias("page_id"))
     return orders.join(A.table(spark, d, "pages").select("page_id", "html"), "page_id").select("accession", "html")
 
@@ -209,7 +210,7 @@ def _results(sections: DataFrame, **others: DataFrame) -> DataFrame:
     return rows
 
 
-@query(f"WITH {A.FILINGS}, {A.PROFILES}, {A.plan_sql(A.AS_OF)} SELECT p.accession, p.kind, sha256(g.html) AS html_sha256 FROM plan p JOIN orders o ON p.accession = '00-' || lpad(o.o_orderkey::VARCHAR, 12, '0') JOIN pages g ON g.page_id = o.o_orderkey % 97")
+@query(f"WITH {A.FILINGS}, {A.PROFILES}, {A.plan_sql(A.AS_OF)} SELECT p.accession, p.kind, sha256(g.html) AS html_sha256 FROM plan p JOIN orders o ON p.accession = '00-' || lpad(o.o_orderkey::VARCHAR, 12, '0') JOIN pages g ON g.page_id = o.o_orderkey % (SELECT count(*) FROM pages)")
 def attach_documents(spark: SparkSession, d: str) -> DataFrame:
     return P.attach_documents(_roled(spark, d), _documents(spark, d)).select("accession", "kind", F.sha2("html", 256).alias("html_sha256"))
 
