@@ -54,11 +54,11 @@ MAX_MATCH = 4
 #: Rows of the table of frequent shingles; it is ordering advice, 16 bytes a row.
 FREQUENT_ROWS = 500_000
 #: Shingles that a task gathers before it counts or deals them.
-COUNT_ROWS = 2_000_000
+COUNT_ROWS = 1_000_000
 #: Tokens before one by which a pair is known to have come up already.
 EARLIER = 16
 #: Prefix tokens of a bucket in which repeated ones are looked for.
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 100_000
 #: Members of one pivot that are verified under one key.
 STAR_ROWS = 1000
 

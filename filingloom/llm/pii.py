@@ -35,6 +35,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +61,8 @@ MUST = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]",
 _RUN = "[A-Za-z0-9+/_=-]"
 #: Names that secrets are assigned to, and prefixes by which issuers mark theirs (fixed values).
 SECRET_NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential"
-ISSUERS = "AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-"
+ISSUER_PREFIXES = ["AKIA", "ASIA", "AIza", "ghp_", "gho_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "sk_live_", "sk-"]
+ISSUERS = "|".join(ISSUER_PREFIXES)
 _ASSIGNED = rf"(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 #: Generators over failed base matches and over whole texts: (name, kind, pattern), and what must occur.
 INSIDE = [("card_run", "card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"), ("card_groups", "card", r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"), ("phone_head", "phone", r"^\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")]
@@ -149,7 +152,14 @@ def _matches(text: Column, pattern: str, must: str, offset: Column | None = None
         first = F.struct((F.lit(0).cast("long") if offset is None else offset).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
         return F.when(F.size(all_steps) == 0, none).otherwise(F.aggregate(blocks, first, block, lambda acc: F.flatten(acc["out"])))
 
-    return F.when(text.rlike(must), _let(_let(cut, steps), placed)).otherwise(none)
+    return F.when(_may(text, must), _let(_let(cut, steps), placed)).otherwise(none)
+
+
+def _may(text: Column, must: str) -> Column:
+    """Whether what a pattern needs occurs; plain searches stand before slow patterns."""
+    if must == ISSUERS:
+        return reduce(or_, (F.contains(text, F.lit(p)) for p in ISSUER_PREFIXES))
+    return text.rlike("[=:]") & text.rlike(must) if must.startswith(_ASSIGNED) else text.rlike(must)
 
 
 def _side(c: Column) -> Column:
@@ -387,7 +397,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Rows in which no pattern can match pass as they are; only the others are written with their candidates.
     """
-    may = F.coalesce(F.col("text").rlike("|".join(f"(?:{must})" for must in [*MUST.values(), *(g[3] for g in OUTSIDE)])), F.lit(False))
+    rest = [_may(F.col("text"), g[3]) for g in OUTSIDE if not g[3].startswith("[0-9]")]  # every other pattern needs a digit or an at sign
+    may = F.coalesce(reduce(or_, [F.col("text").rlike("[0-9@]"), *rest]), F.lit(False))
     asked = docs.filter(may)
     rows = detect(asked.withColumn("__was", F.struct(*docs.columns)), ["__was"])
     new = F.when(F.size("spans") > 0, redacted(F.col("__was.text"), F.col("spans"))).otherwise(F.col("__was.text"))
