@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,16 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, a temporary one only in local mode."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return f"{told.rstrip('/')}/filings-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, unless they import it already."""
     found = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
