@@ -17,6 +17,7 @@ two empty ones differ in none; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +28,16 @@ from filingloom.llm.scratch import Scratch
 
 #: Pages of an archive file; files are cut by page_id.
 FILE_PAGES = 512
+#: Hexadecimal digits of a digest that part the records of one page_id.
+PART_DIGITS = 3
 #: Children of a node, as a power of two.
 FANOUT_BITS = 3
 
 _BREAK = "\r\n"
+# The blank line after a head and after a body, the first bytes of a record and of a gzip member.
+_BLANK = b"\r\n\r\n"
+_MARK = b"WARC/1"
+_GZIP = b"\x1f\x8b\x08"
 
 
 def record_text() -> F.Column:
@@ -50,32 +57,79 @@ def record_text() -> F.Column:
 
 
 def archive_index(pages: DataFrame) -> DataFrame:
-    """page_id, file, seq, offset, length, digest of every page's record, in archive order."""
+    """page_id, file, seq, offset, length, digest of every page's record, in archive order.
+
+    Equal records are counted first and get their places from the count. The rest
+    of a file is numbered in parts by the digest's first PART_DIGITS digits, so a
+    page_id that many records have, or none, is in no single task.
+    """
+    part = F.substring("digest", 1, PART_DIGITS)
     records = pages.select("page_id", record_text().alias("record")).select(
         "page_id",
         F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(0)).alias("file"),
         F.octet_length("record").cast("long").alias("length"),
         F.sha2("record", 256).alias("digest"),
     )
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return records.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    kinds = records.groupBy("page_id", "file", "length", "digest").agg(F.count("*").alias("n")).withColumns({"key": key, "part": part})
+    sums = [F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("length")).alias("bytes")]
+    above = Window.partitionBy("file").orderBy("page_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = kinds.groupBy("file", "page_id", "key", "part").agg(*sums).select("key", "part", "file", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("rows", "bytes")))
+    before = Window.partitionBy("file", "key", "part").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumns({"rows_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "bytes_before": F.coalesce(F.sum(F.col("n") * F.col("length")).over(before), F.lit(0))})
+    each = placed.join(parts, ["file", "key", "part"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    seq, offset = F.col("rows_above") + F.col("rows_before") + F.col("k"), F.col("bytes_above") + F.col("bytes_before") + F.col("k") * F.col("length")
+    return each.select("page_id", "file", seq.cast("long").alias("seq"), offset.cast("long").alias("offset"), "length", "digest")
+
+
+def _plain(raw: bytes) -> bytes:
+    """The stream of a file: gzip members are unpacked one after the other, as far as they can be."""
+    if not raw.startswith(_GZIP):
+        return raw
+    out = []
+    while raw.startswith(_GZIP):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(raw))
+        except zlib.error:  # what a damaged member held is lost, its neighbours are not
+            at = raw.find(_GZIP, 1)
+            raw = raw[at:] if at > 0 else b""
+            continue
+        raw = member.unused_data
+    return b"".join(out)
+
+
+def _records(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, end) of the records of a stream; a span that is no whole record is one of its own.
+
+    Such a span, truncated or garbled, ends where the next record begins.
+    """
+    at = 0
+    while at < len(raw):
+        head = raw.find(_BLANK, at) if raw.startswith(_MARK, at) else -1
+        told = [line[15:].strip() for line in raw[at:head].split(b"\r\n") if line.lower().startswith(b"content-length:")] if head >= 0 else []
+        end = head + 8 + int(told[0]) if told and told[0].isdigit() else len(raw) + 1
+        if end > len(raw) or raw[end - 4 : end] != _BLANK:
+            next_one = raw.find(_BLANK + _MARK, at)
+            end = next_one + 4 if next_one >= 0 else len(raw)
+        yield at, end
+        at = end
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, offset, length, digest of the records of WARC files; a file's number is the last one in its name."""
+    """file, seq, offset, length, digest of the records of WARC files, plain or of gzip members.
+
+    A file's number is the last one in its name. Offsets count in the unpacked
+    stream. A truncated or garbled record is a row with the length and digest of
+    the bytes found, so an audit reports it; what follows it is read on.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 number = int("".join(c if c.isdigit() else " " for c in name.rsplit("/", 1)[-1]).split()[-1])
-                rows, at = [], 0
-                while at < len(raw):
-                    head = raw.index(b"\r\n\r\n", at)
-                    size = next(int(line[15:]) for line in raw[at:head].split(b"\r\n") if line.lower().startswith(b"content-length:"))
-                    end = head + 4 + size + 4
-                    rows.append({"file": number, "seq": len(rows), "offset": at, "length": end - at, "digest": hashlib.sha256(raw[at:end]).hexdigest()})
-                    at = end
+                raw = _plain(content)
+                rows = [{"file": number, "seq": n, "offset": at, "length": end - at, "digest": hashlib.sha256(raw[at:end]).hexdigest()} for n, (at, end) in enumerate(_records(raw))]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())]))
 
@@ -140,12 +194,16 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def damaged_replica(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """A replica of pages at the places of index: of each 50 page_ids one lost its first character and one its record."""
-    hurt = F.when(F.col("page_id") % 50 == 3, F.concat(F.lit("!"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    texts = pages.select("page_id", "url", hurt.alias("html")).select("page_id", record_text().alias("record"))
-    copies = texts.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
-    held = copies.filter("page_id % 50 <> 7").dropDuplicates(["page_id"])
-    return index.select("page_id", "file", "seq", "offset").join(held, "page_id").drop("page_id")
+    """A replica of pages at the places of index: of each 50 page_ids one lost its first character and one its record.
+
+    Each record of the index has its own copy, found by page_id and digest; rows without a page_id are sound.
+    """
+    hurt = pages.filter("page_id % 50 = 3").select("page_id", "url", "html", F.concat(F.lit("!"), F.substring("html", 2, 1 << 30)).alias("bad"))
+    sound = hurt.select("page_id", "url", "html", "bad", F.sha2(record_text(), 256).alias("digest"))
+    copies = sound.select("page_id", "url", "digest", F.col("bad").alias("html")).select("page_id", "digest", record_text().alias("record"))
+    copies = copies.select("page_id", "digest", F.sha2("record", 256).alias("found"), F.octet_length("record").cast("long").alias("size")).dropDuplicates(["page_id", "digest"])
+    held = index.filter("page_id is null or page_id % 50 <> 7").join(copies, ["page_id", "digest"], "left")
+    return held.select("file", "seq", "offset", F.coalesce("found", "digest").alias("digest"), F.coalesce("size", "length").alias("length"))
 
 
 ORACLE = """
