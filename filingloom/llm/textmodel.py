@@ -52,6 +52,7 @@ def _form(data: np.ndarray, off: np.ndarray, words: np.ndarray, first: np.ndarra
     m = np.maximum(np.diff(first), 1).astype(float)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
+    same[first[first < len(words)]] = False  # a text's first word follows none
     distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], float)
     upper = (data - np.uint8(65)) < 26
     letter = ((data | np.uint8(32)) - np.uint8(97)) < 26
