@@ -54,7 +54,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write df and return the written table; ``by``: a column with a folder (name/column=value) for each value."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path, partitionBy=by)
+        df.write.mode("overwrite").parquet(path, partitionBy=by, compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
