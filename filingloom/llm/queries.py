@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingloom.llm import ctw, decontam, fingerprint, jaccard_join, langid, packing, pii, quality, toxicity, warc
+from filingloom.llm import align, ctw, decontam, fingerprint, jaccard_join, langid, near_vectors, packing, pii, quality, resample, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_find_pii, op2_pack_sequences, op3_fingerprint, op4_context_tree, op5_warc_audit, op6_quality, op7_language, op8_decontaminate, op9_toxicity, op10_jaccard_join)
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (op1_find_pii, op2_pack_sequences, op3_fingerprint, op4_context_tree, op5_warc_audit, op6_quality, op7_language, op8_decontaminate, op9_toxicity, op10_jaccard_join, op11_near_vectors, op12_align_tokenizers, op13_importance_resample)
 
 #: DuckDB SQL for the rows of op8: windows as word lists joined into strings.
 _DECONTAMINATE = r"""
@@ -78,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_audit": warc.ORACLE, "op8_decontaminate": _DECONTAMINATE}
+    return {"op5_warc_audit": warc.ORACLE, "op8_decontaminate": _DECONTAMINATE, "op11_near_vectors": near_vectors.ORACLE, "op13_importance_resample": resample.ORACLE}
