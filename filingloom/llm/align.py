@@ -11,14 +11,16 @@ irregular groups, are shuffled. The most frequent of these are broadcast, at
 most ``HOT_PAIRS``; the rest are rare and meet their counts in a join, so no
 frequent pair is a join key.
 
-Texts are cut once. Neither tokenizer joins bytes across the space or newline
-before a word, so a worker remembers units (such a space and its word) with
-their groups, and a document is put together from its units.
+Texts are cut once. Neither tokenizer joins bytes across the space before a
+word, before a newline, or between a letter and a mark that no piece of B holds
+together, so a worker remembers such units and words with their groups, and a
+document is put together from its words. Units of a chunk that are new are
+aligned at once, in arrays.
 
 Edge cases: a null or empty text and one whose tokens do not give back its bytes
 have zeros and an empty digest; repeated rows are documents of their own; a null
 doc_id stays null; other columns of the input are ignored; an empty table gives
-no rows. A text without spaces is one unit, whole, and is not remembered.
+no rows. A text without spaces is one word, whole.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ import hashlib
 import os
 import re
 from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,9 @@ TOKENIZER_B = "piece_bpe_32k.model"
 HOT_PAIRS = 200_000
 #: Pairs that a task gathers before it counts them.
 COUNT_PAIRS = 1_000_000
-#: Units, and characters of units, that a worker remembers at most between chunks.
-UNITS = 250_000
-UNIT_CHARS = 8_000_000
+#: Units and words, and characters of them, that a worker remembers at most between chunks.
+UNITS = 400_000
+UNIT_CHARS = 12_000_000
 
 # Fixed pattern of A's pre-tokenizer, for texts of ASCII and Latin letters only.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -78,8 +82,15 @@ class Pair:
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 known[self.bytes_b[i]] = i  # a piece comes after the byte of the same bytes
         self.identity = np.array([known.get(x, -1) for x in self.bytes_a], np.int64)
-        # A unit begins at a single space or newline only if no piece goes on beyond one.
-        self.free = not any("▁" in p.lstrip("▁") or "\n" in p for p in map(self.b.id_to_piece, range(self.size_b)))
+        self.lengths = [np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b)]
+        #: Ids as text before another token of their side, and as the last of a group: of A, then of B.
+        self.said = [({False: [f"{i}," for i in range(n)], True: [f"{i}{end}" for i in range(n)]}) for n, end in ((size, "|"), (self.size_b, ";"))]
+        pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
+        # Words and units are cut only where no piece of B goes on: at a space, a newline, a mark after a letter.
+        self.free = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        held = {p[k + 1] for p in pieces for k in range(len(p) - 1) if p[k].isalpha()}
+        apart = re.escape("".join(sorted(set("!\"#$%&()*+,-./:;<=>?@[]^`{|}~'") - held)))
+        self.inner = re.compile(rf"(?<=\S)(?=\n\S)" + (f"|(?<=[{_LETTER}])(?=[{apart}])" if apart else ""))
 
     @staticmethod
     def _raw(piece: str) -> bytes:
@@ -91,90 +102,141 @@ class Pair:
             return [t.id for part in _PRE.findall(unit) for t in self.merge(part.encode().decode("latin-1").translate(_STAND_IN))]
         return self.a.encode(unit, add_special_tokens=False).ids
 
-    def units(self, text: str) -> list[str]:
-        """The text behind a space, cut before single spaces and newlines that a word follows and none goes before."""
+    def cut(self, part: str) -> list[str]:
+        """A word (all between two spaces) in units that no token crosses: before a newline, and between a letter and a mark that no piece of B holds together."""
+        return self.inner.split(part) if self.free else [part]
+
+    def words(self, text: str) -> list[str]:
+        """The text between spaces; where white space meets a space, that space is left in a word, as tokens may hold both."""
         if not self.free:
-            return [" " + text]
-        out: list[str] = []
-        for part in text.split(" "):
-            if out and (part[:1].isspace() or not part or not out[-1] or out[-1][-1] == " "):
+            return [text]
+        parts = text.split(" ")
+        if not _ODD.search(text):
+            return parts
+        out = parts[:1]
+        for part in parts[1:]:
+            if not part or part[0].isspace() or not out[-1] or out[-1][-1] == " ":
                 out[-1] += " " + part
             else:
-                out.append(" " + part)
-        if "\n" not in text:
-            return out
-        return [piece for unit in out for piece in (_LINE.split(unit) if "\n" in unit else (unit,))]
+                out.append(part)
+        return out
 
 
-_LINE = re.compile(r"(?<=\S)(?=\n[^\s])")
+#: White space after a space, or a space or white space at an end of the text.
+_ODD = re.compile(r" (?=\s)| \Z|\A\s")
+#: Longer units are aligned one by one.
+LONG_UNIT = 2000
 
 #: For one unit: the group text, tokens of A and B, groups, links, whether bytes come back, pair codes and how often.
 Record = tuple[str, int, int, int, int, bool, list[int], list[int]]
 
 
-def aligned(pair: Pair, unit: str, ids_a: list[int], ids_b: list[int]) -> Record:
-    """The groups of one unit."""
-    raw = unit.encode("utf-8", "surrogatepass")
+def aligned(pair: Pair, raw: bytes, ids_a: list[int], ids_b: list[int]) -> Record:
+    """The groups of one unit whose bytes are ``raw``."""
     if b"".join(map(pair.bytes_b.__getitem__, ids_b)) != raw or b"".join(map(pair.bytes_a.__getitem__, ids_a)) != raw:
         return "", 0, 0, 0, 0, False, [], []
-    size, a, b, said, groups, links = pair.size_b, 0, 0, [], 0, 0
-    codes: dict[int, int] = {}
-    end_a = end_b = 0
-    first_a = first_b = 0
-    while a < len(ids_a) or b < len(ids_b):
-        if end_a <= end_b and a < len(ids_a):
-            end_a += len(pair.bytes_a[ids_a[a]])
-            a += 1
-        else:
-            end_b += len(pair.bytes_b[ids_b[b]])
-            b += 1
-        if end_a == end_b:
-            own_a, own_b = ids_a[first_a:a], ids_b[first_b:b]
-            said.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            groups += 1
-            links += len(own_a) * len(own_b)
-            if len(own_a) == 1 == len(own_b):
-                code = own_a[0] * size + own_b[0]
-                codes[code] = codes.get(code, 0) + 1
-            else:
-                often_a, often_b = _counts(own_a), _counts(own_b)
-                for x, n in often_a:
-                    for y, m in often_b:
-                        codes[x * size + y] = codes.get(x * size + y, 0) + n * m
-            first_a, first_b = a, b
+    ends = [list(accumulate(map(len, map(known.__getitem__, ids)))) for known, ids in ((pair.bytes_a, ids_a), (pair.bytes_b, ids_b))]
+    said, groups, links, codes = [], 0, 0, Counter()
+    a = b = 0
+    for end in sorted(set(ends[0]) & set(ends[1])):
+        own_a, own_b = (ids[k : bisect_left(own, end) + 1] for ids, own, k in ((ids_a, ends[0], a), (ids_b, ends[1], b)))
+        a, b = a + len(own_a), b + len(own_b)
+        said.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
+        groups += 1
+        links += len(own_a) * len(own_b)
+        often_b = Counter(own_b)
+        for x, n in Counter(own_a).items():
+            for y, m in often_b.items():
+                codes[x * pair.size_b + y] += n * m
     return ";".join(said), len(ids_a), len(ids_b), groups, links, True, list(codes), list(codes.values())
 
 
-def _counts(ids: list[int]) -> list[tuple[int, int]]:
-    return [(k, sum(1 for _ in g)) for k, g in groupby(sorted(ids))]
+def aligned_units(pair: Pair, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(group texts, (n_a, n_b, n_groups, n_links) of each unit, first pair of each unit (n + 1), pair codes) of units whose bytes both sides give back."""
+    count = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b)]
+    flat = [np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, count[0]), (ids_b, count[1]))]
+    ends = [np.cumsum(length[ids]) for length, ids in zip(pair.lengths, flat, strict=True)]
+    common = np.intersect1d(*ends, assume_unique=True)
+    of = [np.searchsorted(common, e) for e in ends]  # the group of each token
+    size = [np.bincount(g, minlength=len(common)) for g in of]
+    unit = np.searchsorted(ends[0][np.cumsum(count[0]) - 1], common)  # of each group
+    n = len(ids_a)
+    sums = np.stack([*count, np.bincount(unit, minlength=n), np.bincount(unit, size[0] * size[1], minlength=n).astype(np.int64)], 1)
+    partners = size[1][of[0]]
+    codes = np.repeat(flat[0], partners) * pair.size_b + flat[1][_spread((np.cumsum(size[1]) - size[1])[of[0]], partners)]
+    first = np.concatenate([[0], np.cumsum(sums[:, 3])])
+    last = [np.diff(g, append=-1) != 0 for g in of]
+    said = [said[k] for side, ids, end in zip(pair.said, flat, last, strict=True) for said, k in zip(map(side.__getitem__, end.tolist()), ids.tolist(), strict=True)]
+    order = np.argsort(np.concatenate([2 * of[0], 2 * of[1] + 1]), kind="stable").tolist()
+    said = list(map(said.__getitem__, order))
+    stops = np.cumsum(count[0] + count[1]).tolist()
+    return ["".join(said[a:b])[:-1] for a, b in zip([0, *stops[:-1]], stops, strict=True)], sums, first, codes
 
 
 class _Units:
-    """Units met so far: their numbers, and by number what ``aligned`` gives, pairs in flat arrays."""
+    """Units and words met so far: their numbers, and by number what ``aligned`` gives, pairs in flat arrays."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.word: dict[str, int] = {}
+        self.unit: dict[str, int] = {}
         self.said: list[str] = []
         self.sums, self.first, self.codes, self.often = array("q"), array("q", [0]), array("q"), array("q")
         self.chars = 0
 
-    def learn(self, units: list[str]) -> None:
-        """Number units that are not known: B cuts all of them in one call."""
-        starts = [unit[1:] if unit[0] == " " else unit for unit in units]  # B puts a space before each; a newline then stands behind it
-        for unit, ids in zip(units, self.pair.b.encode(starts, num_threads=1), strict=True):
-            ids_b = ids if unit[0] == " " else ids[1:]
-            said, *sums, whole, codes, often = aligned(self.pair, unit, self.pair.ids_a(unit), ids_b)
-            self.number[unit] = len(self.said)
-            self.said.append(said)
-            self.sums.extend((*sums, int(whole)))
-            self.codes.extend(codes)
-            self.often.extend(often)
-            self.first.append(len(self.codes))
-            self.chars += len(unit)
+    def _add(self, unit: str, said: str, sums, codes, often) -> int:
+        self.said.append(said)
+        self.sums.extend(sums)
+        self.codes.extend(codes)
+        self.often.extend(often)
+        self.first.append(len(self.codes))
+        self.chars += len(unit)
+        return len(self.said) - 1
+
+    def _learn_units(self, units: list[str]) -> None:
+        """B puts a space before what it is given; a newline put after it shuts it off from a unit that has none."""
+        pair = self.pair
+        shift = [0 if u[0] == " " else 1 if u[0] == "\n" else 2 for u in units]
+        given = [u[1:] if k == 0 else u if k == 1 else "\n" + u for u, k in zip(units, shift, strict=True)]
+        ids_a, ids_b = list(map(pair.ids_a, units)), [ids[k:] for ids, k in zip(pair.b.encode(given, num_threads=1), shift, strict=True)]
+        raw = [u.encode("utf-8", "surrogatepass") for u in units]
+        short = [k for k, (u, r) in enumerate(zip(units, raw, strict=True)) if len(u) <= LONG_UNIT and b"".join(map(pair.bytes_b.__getitem__, ids_b[k])) == r]
+        if short:
+            said, sums, first, codes = aligned_units(pair, [ids_a[k] for k in short], [ids_b[k] for k in short])
+            start = len(self.said)
+            self.unit.update(zip((units[k] for k in short), range(start, start + len(short)), strict=True))
+            self.said += said
+            self.first.extend((first[1:] + len(self.codes)).tolist())
+            self.codes.frombytes(codes.astype("<i8").tobytes())
+            self.often.frombytes(np.ones(len(codes), "<i8").tobytes())
+            self.sums.frombytes(np.concatenate([sums, np.ones((len(short), 1), np.int64)], 1).astype("<i8").tobytes())
+            self.chars += sum(len(units[k]) for k in short)
+        for k in sorted(set(range(len(units))) - set(short)):
+            said, *sums, whole, codes, often = aligned(pair, raw[k], ids_a[k], ids_b[k])
+            self.unit[units[k]] = self._add(units[k], said, (*sums, int(whole)), codes, often)
+
+    def learn(self, words: list[str]) -> None:
+        """Number words that are not known: those of several units are put together from them."""
+        cut = [(w, self.pair.cut(" " + w)) for w in words]
+        fresh = [u for u in dict.fromkeys(u for _, own in cut for u in own) if u not in self.unit]
+        if fresh:
+            self._learn_units(fresh)
+        for word, own in cut:
+            at = [self.unit[u] for u in own]
+            if len(at) == 1:
+                self.word[word] = at[0]
+                continue
+            spans = [(self.first[k], self.first[k + 1]) for k in at]
+            sums = [sum(self.sums[5 * k + j] for k in at) for j in range(4)]
+            whole = all(self.sums[5 * k + 4] for k in at)
+            codes, often = array("q"), array("q")
+            for a, b in spans:
+                codes += self.codes[a:b]
+                often += self.often[a:b]
+            self.word[word] = self._add(word, ";".join([self.said[k] for k in at]), (*sums, int(whole)), codes, often)
 
     def trim(self) -> None:
         if len(self.said) > UNITS or self.chars > UNIT_CHARS:
@@ -210,11 +272,11 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _documents(units: _Units, texts: list[str | None]) -> list[tuple]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, codes, often) of each text; codes ascend and are stored as steps."""
     empty = (0, 0, 0, 0, "", b"", b"")
-    cut = [units.pair.units(t) if t else [] for t in texts]
-    fresh = [u for u in dict.fromkeys(u for own in cut for u in own) if u not in units.number]
+    cut = [units.pair.words(t) if t else [] for t in texts]
+    fresh = list(dict.fromkeys(w for own in cut for w in own if w not in units.word))
     if fresh:
         units.learn(fresh)
-    at = [np.fromiter(map(units.number.__getitem__, own), np.int64, len(own)) for own in cut]
+    at = [np.fromiter(map(units.word.__getitem__, own), np.int64, len(own)) for own in cut]
     sums, first, codes, often = (np.frombuffer(x, np.int64) for x in (units.sums, units.first, units.codes, units.often))
     sums = sums.reshape(-1, 5)
     out = []
