@@ -152,15 +152,46 @@ def statement_rows(series: DataFrame, provenance: DataFrame) -> DataFrame:
     return cells.withColumns({"cell": format_value(F.col("val"), F.col("unit")), "display": display_label(F.col("label"), F.col("unit"))})
 
 
+def statement_tables(latest: DataFrame) -> DataFrame:
+    """cik, statement, statement_ord, markdown, and ``tags`` (label and tags behind it) of every statement with a value.
+
+    One aggregate on (cik, statement, label) and one on (cik, statement) hold the cells as
+    maps and derive merging, provenance and periods from them; dealt by cik before, they
+    move nothing. A statement has as many tags as the catalogue gives it and the periods of
+    one company, so groups are small.
+    """
+    seen = F.array_sort(F.collect_list(F.struct("priority", "tag", "end", "val", "unit")))
+    items = latest.groupBy("cik", "statement", "statement_ord", "label", "label_ord", "max_periods").agg(seen.alias("seen"))
+    used = F.array_distinct(F.transform("seen", lambda x: x["tag"]))  # by priority
+    first = F.aggregate("seen", F.create_map().cast("map<date,double>"), lambda m, x: F.when(F.map_contains_key(m, x["end"]), m).otherwise(F.map_concat(m, F.create_map(x["end"], x["val"]))))
+    lowest = F.col("seen")[0]["priority"]
+    unit = F.array_min(F.transform(F.filter("seen", lambda x: x["priority"] == lowest), lambda x: x["unit"]))
+    line = items.select("cik", "statement", "statement_ord", "max_periods", F.struct("label_ord", "label", unit.alias("unit"), F.array_join(used, " / ").alias("tags"), first.alias("cells")).alias("item"))
+    whole = line.groupBy("cik", "statement", "statement_ord", "max_periods").agg(F.collect_list("item").alias("items"))
+    # Maps have no order to sort by; catalogue places do.
+    ordered = F.transform(F.array_sort(F.transform("items", lambda i: i["label_ord"])), lambda n: F.filter("items", lambda i: i["label_ord"] == n)[0])
+    newest = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform("items", lambda i: F.map_keys(i["cells"])))), asc=False), F.lit(1), F.col("max_periods"))
+    shown = whole.withColumns({"items": ordered, "ends": F.sort_array(newest)})
+    cells = lambda i: F.transform("ends", lambda e: format_value(F.try_element_at(i["cells"], e), i["unit"]))
+    lines = F.transform("items", lambda i: F.concat(F.lit("| "), display_label(i["label"], i["unit"]), F.lit(" | "), F.array_join(cells(i), " | "), F.lit(" |")))
+    tags = F.transform("items", lambda i: F.struct(i["label"].alias("label"), i["tags"].alias("tags")))
+    return shown.select("cik", "statement", "statement_ord", _markdown(F.transform("ends", lambda e: F.date_format(e, "yyyy-MM-dd")), lines).alias("markdown"), tags.alias("tags"))
+
+
+def _markdown(ends: Column, lines: Column) -> Column:
+    """A statement's table from its period ends and its lines."""
+    head = F.concat(F.lit("| Line item (USD millions unless noted) | "), F.array_join(ends, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| --- | "), F.array_join(F.transform(ends, lambda _: F.lit("---")), " | "), F.lit(" |"))
+    return F.concat_ws("\n", head, rule, F.array_join(lines, "\n"))
+
+
 def statement_markdown(rows: DataFrame) -> DataFrame:
-    """Each company's statements as pipe tables. A statement has at most 12 periods and 11 items, so groups are small."""
+    """Each company's statements as pipe tables, from their cells (see statement_rows). A statement has at most 12 periods and 11 items, so groups are small."""
     lines = rows.groupBy("cik", "statement", "statement_ord", "label_ord", "display").agg(F.array_sort(F.collect_list(F.struct("end", "cell"))).alias("cells"))
     line = F.concat(F.lit("| "), F.col("display"), F.lit(" | "), F.array_join("cells.cell", " | "), F.lit(" |"))
     listed = lines.select("cik", "statement", "statement_ord", F.transform("cells", lambda c: F.date_format(c["end"], "yyyy-MM-dd")).alias("ends"), F.struct("label_ord", line.alias("line")).alias("line"))
     tables = listed.groupBy("cik", "statement", "statement_ord").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list("line")).alias("lines"))
-    head = F.concat(F.lit("| Line item (USD millions unless noted) | "), F.array_join("ends", " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| --- | "), F.array_join(F.transform("ends", lambda _: F.lit("---")), " | "), F.lit(" |"))
-    return tables.select("cik", "statement", "statement_ord", F.concat_ws("\n", head, rule, F.array_join("lines.line", "\n")).alias("markdown"))
+    return tables.select("cik", "statement", "statement_ord", _markdown(F.col("ends"), F.col("lines.line")).alias("markdown"))
 
 
 # Fixed text: what stands above the statements of every company.
@@ -176,15 +207,39 @@ PREAMBLE = """Values are as most recently restated by the company.
 """
 
 
-def financials_document(companies: DataFrame, tables: DataFrame, tags: DataFrame) -> DataFrame:
-    """ticker, cik, document: all statements of a company with the tags behind them."""
-    parts = tables.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("statement_ord", F.concat(F.lit("## "), F.col("statement"), F.lit("\n\n"), F.col("markdown"), F.lit("\n")).alias("part")))).alias("parts"))
-    used = tags.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("label", F.concat(F.lit("| "), F.col("label"), F.lit(" | `"), F.col("tags"), F.lit("` |")).alias("row")))).alias("rows"))
+def _document(companies: DataFrame, parts: Column, rows: Column) -> DataFrame:
+    """ticker, cik, document: a head, the statements, and the tags behind them."""
     number = F.lpad(F.col("cik").cast("string"), 10, "0")
     head = F.concat(F.lit("# "), F.col("ticker"), F.lit(" - Financial statements time series\n\nCompany: "), F.col("company"), F.lit("  \nSource: SEC XBRL Company Facts (CIK "), number, F.lit(")  \n"), F.lit(PREAMBLE))
-    tail = F.concat(F.lit("## XBRL tags used\n\n| Line item | Tag |\n| --- | --- |\n"), F.array_join("rows.row", "\n"), F.lit("\n"))
-    whole = companies.join(parts, "cik", "left").join(used, "cik", "left")
-    return whole.select("ticker", "cik", F.concat_ws("\n", head, F.array_join("parts.part", "\n"), F.when(F.col("rows").isNotNull(), tail)).alias("document"))
+    tail = F.concat(F.lit("## XBRL tags used\n\n| Line item | Tag |\n| --- | --- |\n"), F.array_join(rows, "\n"), F.lit("\n"))
+    return companies.select("ticker", "cik", F.concat_ws("\n", head, F.array_join(parts, "\n"), tail).alias("document"))
+
+
+def _part(statement: Column, markdown: Column) -> Column:
+    return F.concat(F.lit("## "), statement, F.lit("\n\n"), markdown, F.lit("\n"))
+
+
+def _tag_row(label: Column, tags: Column) -> Column:
+    return F.concat(F.lit("| "), label, F.lit(" | `"), tags, F.lit("` |"))
+
+
+def financials_document(companies: DataFrame, tables: DataFrame, tags: DataFrame) -> DataFrame:
+    """ticker, cik, document: all statements of a company with the tags behind them. A company without facts has none."""
+    parts = tables.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("statement_ord", _part(F.col("statement"), F.col("markdown")).alias("part")))).alias("parts"))
+    used = tags.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("label", _tag_row(F.col("label"), F.col("tags")).alias("row")))).alias("rows"))
+    return _document(companies.join(parts, "cik").join(used, "cik"), F.col("parts.part"), F.col("rows.row"))
+
+
+def company_financials(companies: DataFrame, facts: DataFrame) -> DataFrame:
+    """financials_document of facts, from statement_tables: of a label's tags those of the last statement that has it."""
+    tables = statement_tables(financial_series(facts, concepts(facts.sparkSession)))
+    own = F.struct("statement_ord", "statement", "markdown", "tags")
+    whole = tables.groupBy("cik").agg(F.array_sort(F.collect_list(own)).alias("tables"))  # at most one of each statement
+    parts = F.transform("tables", lambda t: _part(t["statement"], t["markdown"]))
+    listed = F.flatten(F.transform("tables", lambda t: t["tags"]))
+    labels = F.array_sort(F.array_distinct(F.transform(listed, lambda x: x["label"])))
+    rows = F.transform(labels, lambda n: _tag_row(n, F.element_at(F.filter("listed", lambda x: x["label"] == n), -1)["tags"]))
+    return _document(companies.join(whole, "cik").withColumn("listed", listed), parts, rows)
 
 
 def financial_series(facts: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingloom.operators.keyset import key_bitmaps, may_have
+
 # Filing kinds a plan can hold, how many newest periods of each are
 # kept, every section a profile may choose, and the sections of a light profile.
 PLAN_LIMITS = {"10-K": 2, "10-Q": 4, "DEF 14A": 1, "8-K": 4}
@@ -16,7 +18,8 @@ ALL_SECTIONS = ["10-K", "10-Q", "DEF 14A", "8-K", "XBRL"]
 LIGHT_SECTIONS = ["XBRL"]
 DEFAULT_YEARS_BACK = 3
 WIDENED_YEARS = 5
-ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
+EDGAR = "https://www.sec.gov"
+ARCHIVE = EDGAR + "/Archives/edgar/data/"
 
 
 def filing_url() -> Column:
@@ -130,18 +133,38 @@ def lookup_company(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     return requests.withColumn("ticker", key).join(tickers, "ticker", "left")
 
 
-def attach_documents(todo: DataFrame, documents: DataFrame) -> DataFrame:
-    """The HTML of each planned filing, by accession; a plan that is small by Spark's measure is broadcast, so texts stay put."""
-    return todo.join(documents.select("accession", "html"), "accession")
+def resolve_sources(plan: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """plan with ``source_url``, where each filing's text is: a current report's press release exhibit (null: it has none), else its own document.
+
+    Only exhibits of planned reports are ranked.
+    """
+    reports = plan.filter("kind = '8-K'").select("accession")
+    found = press_release_exhibit(reports, may_have(exhibits, "accession", key_bitmaps(reports, "accession")))
+    return plan.join(found, "accession", "left").withColumn("source_url", F.when(F.col("kind") == "8-K", F.col("release_url")).otherwise(F.col("filing_url"))).drop("release_url")
+
+
+def attach_documents(todo: DataFrame, documents: DataFrame, how: str = "inner") -> DataFrame:
+    """The HTML of each planned filing: by ``source_url`` where documents have a ``url``, else by accession.
+
+    A filter made of the plan's keys stands before the join, so HTML that is not planned stays
+    where it was read; a plan that is small by Spark's measure is broadcast, and then none moves.
+    """
+    key = ("source_url", "url") if "url" in documents.columns and "source_url" in todo.columns else ("accession", "accession")
+    found = may_have(documents.select(F.col(key[1]).alias(key[0]), "html"), key[0], key_bitmaps(todo, key[0]))
+    return todo.join(found, key[0], how)
+
+
+def exhibit_page() -> Column:
+    """An exhibit's link without the viewer before it."""
+    return F.regexp_replace("href", r"/ix\?doc=", "")
 
 
 def press_release_exhibit(filings8k: DataFrame, exhibits: DataFrame) -> DataFrame:
     """filings8k with the url of its press release: EX-99.1, else the first EX-99 page, else null."""
     kind = F.upper(F.trim("type"))
-    page = F.regexp_replace("href", r"/ix\?doc=", "")
-    pages = exhibits.filter(kind.startswith("EX-99") & F.lower(page).rlike(r"\.html?$"))
+    pages = exhibits.filter(kind.startswith("EX-99") & F.lower(exhibit_page()).rlike(r"\.html?$"))
     rank = F.struct((~kind.isin("EX-99.1", "EX-99.01")).cast("int").alias("other"), F.col("seq"))
-    best = pages.groupBy("accession").agg(F.min_by(F.concat(F.lit("https://www.sec.gov"), page), rank).alias("release_url"))
+    best = pages.groupBy("accession").agg(F.min_by(F.concat(F.lit(EDGAR), exhibit_page()), rank).alias("release_url"))
     return filings8k.join(best, "accession", "left")
 
 

@@ -29,9 +29,16 @@ def missing_manifest_files(manifest: DataFrame, present: DataFrame) -> DataFrame
 
 
 def diff_manifest(plan: DataFrame, manifest: DataFrame, present: DataFrame) -> DataFrame:
-    """Every planned or recorded filing with status new, kept or dropped. A record without files is complete."""
-    gaps = missing_manifest_files(manifest, present).select("ticker", "accession").distinct().withColumn("gap", F.lit(True))
-    recorded = manifest.select("ticker", "accession", F.col("form").alias("recorded_form"), "files", "role").join(gaps, ["ticker", "accession"], "left").withColumn("recorded", F.lit(True))
+    """Every planned or recorded filing with status new, kept or dropped. A record without files is complete; of repeated ones the last filed counts.
+
+    Records are read once: their files meet those present, then each record's gaps are
+    one aggregate on (ticker, accession), the key by which the plan joins too.
+    """
+    files = last_records(manifest).select("ticker", "accession", F.col("form").alias("recorded_form"), "files", "role", F.explode_outer("files").alias("filename"))
+    there = present.select("ticker", "filename", F.lit(True).alias("there")).distinct()
+    met = files.join(there, ["ticker", "filename"], "left")
+    gap = F.bool_or(F.col("filename").isNotNull() & F.col("there").isNull())
+    recorded = met.groupBy("ticker", "accession").agg(*(F.first(c).alias(c) for c in ("recorded_form", "files", "role")), gap.alias("gap")).withColumn("recorded", F.lit(True))
     both = plan.withColumn("planned", F.lit(True)).join(recorded, ["ticker", "accession"], "full")
     status = F.when(F.col("planned").isNull(), "dropped").when(F.col("recorded").isNull() | F.coalesce("gap", F.lit(False)), "new").otherwise("kept")
     return both.withColumn("status", status).drop("planned", "recorded", "gap")
@@ -97,6 +104,7 @@ def refresh_summary(changes: DataFrame) -> DataFrame:
 
 
 def list_watchlist(tickers: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every ticker with its tier and sections; without a profile the tier is (none)."""
-    rows = tickers.join(profiles.select("ticker", "tier", F.array_join("sections", ", ").alias("sections")), "ticker", "left")
-    return rows.select("ticker", F.coalesce("tier", F.lit("(none)")).alias("tier"), F.coalesce("sections", F.lit("no profile")).alias("sections"))
+    """Every ticker with its tier and sections, and its last run where profiles have one; without a profile the tier is (none)."""
+    ran = [F.coalesce(F.col("last_run").cast("string"), F.lit("")).alias("last_run")] if "last_run" in profiles.columns else []
+    rows = tickers.join(profiles.select("ticker", "tier", *(F.col("last_run") for _ in ran), F.array_join("sections", ", ").alias("sections")), "ticker", "left")
+    return rows.select("ticker", F.coalesce("tier", F.lit("(none)")).alias("tier"), *ran, F.coalesce("sections", F.lit("no profile")).alias("sections"))

@@ -59,12 +59,44 @@ def _joined(segments: Column, first: Column, count: Column) -> Column:
     return strip(F.array_join(F.slice(segments, first, count), ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _starts(lengths: Column) -> Column:
+    """Where pieces of these lengths begin.
+
+    A place is the sum of whole blocks before it and of what is left, and a block
+    has as many pieces as there are blocks, so n pieces cost n * sqrt(n) additions.
+    """
+
+    def placed(c: Column) -> Column:
+        step, blocks = c["step"], c["blocks"]
+        whole = lambda i: F.floor(i / step).cast("int")
+        before = lambda i: _total(F.slice(blocks, F.lit(1), whole(i))) + _total(F.slice(c["lengths"], whole(i) * step + 1, i - whole(i) * step))
+        return F.transform(c["lengths"], lambda _, i: before(i))
+
+    def blocked(c: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(c["lengths"]), F.lit(1)), c["step"])
+        return F.struct(c["lengths"].alias("lengths"), c["step"].alias("step"), F.transform(first, lambda b: _total(F.slice(c["lengths"], b, c["step"]))).alias("blocks"))
+
+    stepped = let(lengths, lambda n: F.struct(n.alias("lengths"), F.greatest(F.ceil(F.sqrt(F.size(n))), F.lit(1)).cast("int").alias("step")))
+    return let(let(stepped, blocked), placed)
+
+
 def item_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without the text, one row per line that looks like an item heading: start, item, title, size (to the next one)."""
-    cut = df.withColumn("__segs", _segments(F.col(text), ITEM_LINE)).select(*(c for c in df.columns if c != text), F.posexplode("__segs").alias("__n", "__seg"), "__segs")
-    start = F.aggregate(F.slice("__segs", 1, F.col("__n")), F.lit(0), lambda a, s: a + F.length(s))
-    found = cut.withColumns({"start": start, "item": F.upper(F.regexp_extract("__seg", ITEM_PARTS, 1)), "title": _title(F.col("__seg")), "size": F.length("__seg")})
-    return found.filter("item <> ''").drop("__n", "__seg", "__segs")
+    """df without the text, one row per line that looks like an item heading: start, item, title, size (to the next one).
+
+    Places are summed up before rows are made, so no row carries the text.
+    """
+    described = lambda seg, start: F.struct(start.alias("start"), F.upper(F.regexp_extract(seg, ITEM_PARTS, 1)).alias("item"), _title(seg).alias("title"), F.length(seg).alias("size"))
+    found = let(_segments(F.col(text), ITEM_LINE), lambda segs: F.zip_with(segs, _starts(F.transform(segs, F.length)), described))
+    return df.select(*(c for c in df.columns if c != text), F.inline(found)).filter("item <> ''")
 
 
 def _title(segment: Column) -> Column:
@@ -120,10 +152,24 @@ def _body(items: str, item: str) -> Column:
 
 
 def split_statements_notes(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """df with {prefix}_statements and {prefix}_notes: cut once, at the first notes opener with over 2,000 characters before it."""
+    """df with {prefix}_statements and {prefix}_notes: cut once, at the first notes opener with over 2,000 characters before it.
+
+    One fold over the segments carries how long the text before an opener is
+    once stripped: a segment adds its own text and the white space that came
+    before it, and keeps back what it ends with.
+    """
     df = df.withColumn("__segs", _segments(F.col(text), NOTES_LINE))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("__segs"), F.lit(1))), lambda k: (k < F.size("__segs")) & (F.length(_joined(F.col("__segs"), F.lit(1), k)) > NOTES_PREFIX))
-    df = df.withColumn("__at", F.try_element_at(places, F.lit(1)))
+    measured = F.transform("__segs", lambda s: F.struct(F.length(s).alias("all"), F.length(F.regexp_replace(s, r"(?U)^\s+", "")).alias("tail"), F.length(strip(s)).alias("own")))
+    start = F.struct(F.lit(0).alias("length"), F.lit(0).alias("kept_back"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
+
+    def add(acc: Column, s: Column) -> Column:
+        blank, first = s["own"] == 0, acc["length"] == 0
+        length = F.when(blank, acc["length"]).when(first, s["own"]).otherwise(acc["length"] + acc["kept_back"] + s["all"] - s["tail"] + s["own"])
+        kept_back = F.when(blank, acc["kept_back"] + s["all"]).otherwise(s["tail"] - s["own"])
+        n = acc["n"] + 1
+        return F.struct(length.alias("length"), kept_back.alias("kept_back"), n.alias("n"), F.coalesce(acc["at"], F.when(length > NOTES_PREFIX, n)).alias("at"))
+
+    df = df.withColumn("__at", F.aggregate(measured, start, add, lambda acc: F.when(acc["at"] < acc["n"], acc["at"])))
     at = F.col("__at")
     statements = F.when(at.isNull(), F.col(text)).otherwise(_joined(F.col("__segs"), F.lit(1), at))
     notes = F.when(at.isNotNull(), _joined(F.col("__segs"), at + 1, F.size("__segs")))
@@ -303,10 +349,15 @@ def process_release(docs: DataFrame) -> DataFrame:
     return _written(*_release(docs), F.lit(_RELEASE_FORM), _released())
 
 
-def split_filings(docs: DataFrame) -> DataFrame:
-    """Section rows of texts of every form, each by its own rule; anything unknown, and a missing form, is cut like an annual report.
+#: A part of a filing: a section file that it gives.
+PART = "array<struct<filename:string,section:string,body:string>>"
 
-    One pass: a rule sees the texts of its own form and nulls for the others, which have no parts.
+
+def filing_parts(docs: DataFrame) -> DataFrame:
+    """docs without their text, with ``parts`` (an array of filename, section and body), ``shown`` (the form they name) and ``period_end``.
+
+    Texts of every form, each by its own rule; anything unknown, and a missing form, is cut like an annual report. One
+    pass: a rule sees the texts of its own form and nulls for the others, which have no parts; a null text has none.
     """
     routes = {"DEF 14A": _proxy, "10-Q": _quarterly, "8-K": _release, "10-K": _annual}
     form = F.coalesce("form", F.lit("10-K"))
@@ -319,7 +370,23 @@ def split_filings(docs: DataFrame) -> DataFrame:
     is_release = F.col("__rule") == "8-K"
     shown = F.when(is_release, F.lit(_RELEASE_FORM)).otherwise(F.col("form"))
     period = F.when(is_release, _released()).otherwise(F.coalesce("report_date", F.lit("")))
-    return _written(df, F.coalesce(*(f"__parts_{k}" for k in range(len(routes)))), shown, period)
+    stripped = F.transform(F.array_compact(F.coalesce(*(f"__parts_{k}" for k in range(len(routes))))), lambda p: F.struct(p["filename"].alias("filename"), p["section"].alias("section"), strip(p["body"]).alias("body")))
+    return df.select(*(c for c in docs.columns if c != "text"), shown.alias("shown"), period.alias("period_end"), F.coalesce(stripped, F.array().cast(PART)).alias("parts"))
+
+
+def sections_of(parts: DataFrame) -> DataFrame:
+    """One row for each part of each filing.
+
+    The outer form, with its rows of nulls taken out after: for the plain one Spark infers a
+    filter on the size of ``parts`` and works out all rules once more for it.
+    """
+    rows = parts.select("ticker", "accession", F.col("shown").alias("form"), "period_end", F.col("filed").cast("string").alias("filed"), F.col("url").alias("source"), F.inline_outer("parts"))
+    return rows.filter("filename is not null").withColumn("chars", F.length("body").cast("long")).select(*SECTION_COLUMNS)
+
+
+def split_filings(docs: DataFrame) -> DataFrame:
+    """Section rows of texts of every form, each by its own rule."""
+    return sections_of(filing_parts(docs))
 
 
 def section_documents(sections: DataFrame, companies: DataFrame | None = None) -> DataFrame:

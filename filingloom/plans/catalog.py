@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filingloom.plans import fact_queries, filing_queries, source_queries, text_queries  # noqa: F401  they register their queries
+from filingloom.plans import corpus_queries, fact_queries, filing_queries, source_queries, text_queries  # noqa: F401  they register their queries
 from filingloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -106,14 +106,27 @@ def days_between(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", O.days_between(ship.cast("string"), end).alias("days"))
 
 
-@query()
+_SHOWN = "CASE WHEN val IS NULL THEN '' WHEN unit = 'USD/shares' THEN format('{:,.2f}', val) WHEN abs(val) >= 1e6 THEN format('{:,.1f}', val / 1e6) ELSE format('{:,.0f}', val) END"
+_TABLES = f"""{_CELLS}, cell_lines AS (SELECT cik, statement, label_ord, '| ' || {_DISPLAY} || ' | ' || string_agg({_SHOWN}, ' | ' ORDER BY "end") || ' |' AS line FROM cells GROUP BY cik, statement, label_ord, label, unit),
+heads AS (SELECT cik, statement, '| Line item (USD millions unless noted) | ' || string_agg("end"::VARCHAR, ' | ' ORDER BY "end") || ' |' || chr(10) || '| --- | ' || string_agg('---', ' | ') || ' |' AS head FROM periods GROUP BY cik, statement),
+tables AS (SELECT h.cik, h.statement, o.statement_ord, head || chr(10) || lines AS markdown FROM heads h JOIN (SELECT cik, statement, string_agg(line, chr(10) ORDER BY label_ord) AS lines FROM cell_lines GROUP BY cik, statement) l USING (cik, statement)
+  JOIN (SELECT DISTINCT statement, statement_ord FROM concepts) o USING (statement))"""
+_USED = "used AS (SELECT cik, label, arg_max(tags, statement_ord) AS tags FROM provenance GROUP BY cik, label)"
+
+
+@query(f"{_TABLES} SELECT cik, statement, statement_ord, markdown FROM tables")
 def statement_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return O.statement_markdown(_rows(spark, d))
+    return O.statement_tables(_latest(spark, d)).select("cik", "statement", "statement_ord", "markdown")
 
 
-@query()
+@query(
+    f"""{_TABLES}, {_USED},
+  bodies AS (SELECT cik, string_agg('## ' || statement || chr(10) || chr(10) || markdown || chr(10), chr(10) ORDER BY statement_ord) AS parts FROM tables GROUP BY cik),
+  tails AS (SELECT cik, string_agg('| ' || label || ' | `' || tags || '` |', chr(10) ORDER BY label) AS rows FROM used GROUP BY cik)
+  SELECT 'S' || s_suppkey AS ticker, s_suppkey AS cik, '# S' || s_suppkey || ' - Financial statements time series' || chr(10) || chr(10) || 'Company: ' || s_name || '  ' || chr(10) || 'Source: SEC XBRL Company Facts (CIK ' || lpad(s_suppkey::VARCHAR, 10, '0') || ')  ' || chr(10)
+    || '{O.PREAMBLE}' || chr(10) || parts || chr(10) || '## XBRL tags used' || chr(10) || chr(10) || '| Line item | Tag |' || chr(10) || '| --- | --- |' || chr(10) || rows || chr(10) AS document
+  FROM supplier JOIN bodies b ON b.cik = s_suppkey JOIN tails t ON t.cik = s_suppkey"""
+)
 def financials_document(spark: SparkSession, d: str) -> DataFrame:
-    latest = _latest(spark, d)
-    series, origin = O.merge_tags(latest), O.series_provenance(latest)
     companies = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cik"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("company"))
-    return O.financials_document(companies, O.statement_markdown(O.statement_rows(series, origin)), O.tags_used(origin))
+    return O.company_financials(companies, A.facts(spark, d))

@@ -111,3 +111,25 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
         lot.drop("early").write.mode("append").parquet(f"{root}/landing")
         refresh_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/progress", process).awaitTermination()
     return spark.read.parquet(f"{root}/state/sections").select("accession", "kind", "html_sha256")
+
+
+@query("SELECT '00-' || page_id AS accession, sha256(html || chr(10)) AS html_sha256 FROM pages")
+def read_filing_html(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a file named after its accession, with the newline that a text file ends with."""
+    path = f"{work_folder(spark)}/html"
+    key = F.col("page_id").cast("string")
+    R.write_named_files(A.table(spark, d, "pages").select(F.concat(F.lit("00-"), key, F.when(F.col("page_id") % 2 == 0, ".htm").otherwise(".html")).alias("name"), F.col("html").alias("value")), path)
+    return R.read_filing_html(spark, path).select("accession", F.sha2("html", 256).alias("html_sha256"))
+
+
+@query("""WITH f AS (SELECT ['Memos & Theses', 'Earnings/Prep', 'Earnings/Reaction', 'Models', 'Other'][(doc_id % 5 + 1)::INT] AS folder, doc_id, CASE WHEN doc_id % 7 = 0 THEN '~$' || doc_id || '.docx' WHEN doc_id % 11 = 0 THEN '.hidden' || doc_id ELSE 'note ' || doc_id || '.md' END AS name FROM documents)
+  SELECT folder || '/' || (doc_id // 100) || '/' || name AS path FROM f WHERE folder <> 'Other' AND name LIKE 'note%'""")
+def list_prior_work(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document in folders of own work and others, some of them lock or hidden files."""
+    root = f"{work_folder(spark)}/company"
+    key = F.col("doc_id")
+    folder = F.element_at(F.array(*map(F.lit, [*R.PRIOR_WORK, "Other"])), (key % 5 + 1).cast("int"))
+    text = key.cast("string")
+    name = F.when(key % 7 == 0, F.concat(F.lit("~$"), text, F.lit(".docx"))).when(key % 11 == 0, F.concat(F.lit(".hidden"), text)).otherwise(F.concat(F.lit("note "), text, F.lit(".md")))
+    R.write_named_files(A.table(spark, d, "documents").select(F.concat_ws("/", folder, F.floor(key / 100).cast("string"), name).alias("name"), F.col("lang").alias("value")), root)
+    return R.list_prior_work(spark, root).select("path")

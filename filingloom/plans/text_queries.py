@@ -14,6 +14,7 @@ from filingloom.operators import sections as S
 from filingloom.plans import adapters as A
 from filingloom.plans.filing_queries import earlier_manifest
 from filingloom.plans.registry import query
+from filingloom.session import stage
 
 _TEXTS = f"WITH {A.TEXTS}"
 
@@ -229,10 +230,11 @@ def build_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refresh_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest of an earlier year, as recorded, brought up to date."""
+    """The corpus of an earlier year, as recorded, brought up to date from all pages: sections, manifest and changes."""
     manifest = earlier_manifest(spark, d)
     held = manifest.select("ticker", "accession", F.explode("files").alias("filename")).filter(~F.contains("filename", F.lit("17_")))
-    return C.refresh_corpus(A.profiles(spark, d), A.filings(spark, d), _documents(spark, d), manifest, held, A.AS_OF)[1]
+    sections, records, changes = C.refresh_corpus(A.profiles(spark, d), A.filings(spark, d), _all_documents(spark, d), stage(manifest, "manifest"), stage(held, "held"), A.AS_OF)
+    return _results(sections, manifest=records, change=changes)
 
 
 @query()

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -26,14 +26,40 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder that all executors share: below ``spark.checkpoint.dir``, a temporary one only in local mode."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
-        return f"{told.rstrip('/')}/filings-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+        folder = f"{told.rstrip('/')}/filings-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table of its own work folder: what is read from it again is not worked out again, nor lost with an executor."""
+    path = f"{work_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all work folders of this application; results that read them must have been written before."""
+    for folder in _FOLDERS.pop(spark.sparkContext.applicationId, []):
+        fs, path = file_system(spark, folder)
+        fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(the Hadoop file system of a path, the path)."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filingloom.session import file_system
+
 # Folders that hold a company's own work, and files in them that are none.
 PRIOR_WORK = ["Memos & Theses", "Earnings/Prep", "Earnings/Reaction", "Models"]
 NOT_WORK = r"(?i)(?:^|/)(?:~\$[^/]*|\.[^/]*|desktop\.ini)$"
@@ -81,14 +83,45 @@ def write_section_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").partitionBy("ticker").parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Records newest first within their files."""
-    dates = {c: F.col(c).cast("string") for c in ("report_date", "filed")}
-    manifest.withColumns(dates).sortWithinPartitions(F.desc("filed")).write.mode("overwrite").json(path)
+#: Records in order: newest first, then by ticker and accession.
+_NEWEST = [F.desc, F.asc, F.asc]
+_BY = ["filed", "ticker", "accession"]
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path)
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Records newest first: within each file, and from file to file by their numbers."""
+    dates = {c: F.col(c).cast("string") for c in ("report_date", "filed")}
+    order = [f(c) for f, c in zip(_NEWEST, _BY, strict=True)]
+    manifest.withColumns(dates).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, in_order: bool = False) -> DataFrame:
+    """Records, in the order of the files if asked for: a sort by range on the keys that they were written by."""
+    records = spark.read.schema(MANIFEST).json(path)
+    return records.orderBy(*(f(c) for f, c in zip(_NEWEST, _BY, strict=True))) if in_order else records
+
+
+def write_named_files(df: DataFrame, path: str, name: str = "name", value: str = "value") -> None:
+    """One text file for each row, at ``name`` (which may have folders) below path.
+
+    Spark writes each row to a folder of its own, hashed names for short; when the write is
+    committed the files are renamed, so path has whole files only. Names must differ.
+    """
+    aside = f"{path}/_writing"
+    key = F.sha2(F.col(name), 256)
+    names = df.select(name, key.alias("key"))
+    df.select(key.alias("key"), value).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("key").text(aside)
+    fs, _ = file_system(df.sparkSession, path)
+    folders: set[str] = set()
+    for row in names.toLocalIterator():  # a rename each
+        target = f"{path}/{row[name]}"
+        folder = target.rpartition("/")[0]
+        if folder not in folders:
+            fs.mkdirs(file_system(df.sparkSession, folder)[1])
+            folders.add(folder)
+        (found,) = [s.getPath() for s in fs.listStatus(file_system(df.sparkSession, f"{aside}/key={row['key']}")[1]) if s.getPath().getName().startswith("part-")]
+        fs.rename(found, file_system(df.sparkSession, target)[1])
+    fs.delete(file_system(df.sparkSession, aside)[1], True)
 
 
 def append_refresh_log(summary: DataFrame, path: str, run_date: str) -> None:
