@@ -378,18 +378,52 @@ def span_digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == len(KINDS))).cast("long").alias("n_secret"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
+#: Code points of a block that a span is looked up in, and spans that are put together before they join what came before.
+BLOCK = 512
+RUN = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The text from code point a to before b: of blocks, not from the text's start."""
+    i, j = (F.floor(x / BLOCK).cast("int") for x in (a, b - 1))
+    place = lambda x: F.pmod(x, F.lit(BLOCK)).cast("int") + 1
+    inner = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    several = F.concat(F.substring(F.get(blocks, i), place(a), F.lit(BLOCK)), inner, F.substring(F.get(blocks, j), F.lit(1), place(b - 1)))
+    return F.when(b <= a, "").when(i == j, F.substring(F.get(blocks, i), place(a), (b - a).cast("int"))).otherwise(several)
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its first kind's mark."""
+    """The text with each span, or run of overlapping spans, replaced by its first kind's mark.
+
+    Linear in the text and the spans: the text is cut into blocks once, each gap
+    is taken from its blocks, and pieces are joined run by run of spans.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in ALL_KINDS))
+    none = F.array().cast("array<string>")
+
+    def masked(given: Column) -> Column:
+        blocks, placed = given["blocks"], given["ordered"]
+
+        def walk(acc: Column, s: Column) -> Column:
+            fresh = F.concat(acc["out"], F.array(_between(blocks, acc["at"], s["start"]), F.element_at(marks, s["kind"] + 1)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+        def run(acc: Column, own: Column) -> Column:
+            made = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), walk)
+            return _let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(m["out"], ""))).alias("out")))
 
-    def walk(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], F.array(gap, F.element_at(marks, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(placed), F.lit(1)), F.lit(RUN)), lambda k: F.slice(placed, k, RUN))
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.aggregate(runs, start, run, lambda acc: F.concat(F.array_join(acc["out"], ""), _between(blocks, acc["at"], given["n"])))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(ordered, start, walk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _let(F.struct(blocks.alias("blocks"), ordered.alias("ordered"), F.length(text).cast("long").alias("n")), masked)
 
 
 def redact(docs: DataFrame) -> DataFrame:

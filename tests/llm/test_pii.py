@@ -185,3 +185,44 @@ def test_ties_repeats_and_clashing_columns(spark):
     assert len(got) == 13 and len({r.spans for r in got if r.doc_id == 7}) == 1
     masked = pii.redact(df)
     assert masked.columns == df.columns and masked.count() == 13
+
+
+def test_many_spans_are_masked_in_time(spark):
+    """60,000 spans in one text, and blocks of every border: gaps are not taken from the text's start."""
+    import time
+
+    word = "é\U0001f600ab@c.de, "
+    n = 60_000
+    df = spark.createDataFrame([(word * n, n)], "text string, n int")
+    spans = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.lit(0).alias("kind"), (k * 11 + 2).cast("long").alias("start"), (k * 11 + 9).cast("long").alias("end")))
+    began = time.time()
+    found = df.select(pii.redacted(F.col("text"), spans).alias("x")).first().x
+    assert found == "é\U0001f600<EMAIL>, " * n
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_masking_against_plain_python(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(40):
+        text = "".join(rng.choice("aé中\U0001f600 \n") for _ in range(rng.choice([0, 5, 511, 512, 513, 3000])))
+        spans = []
+        for _ in range(rng.choice([0, 1, 3, 300]) if text else 0):
+            a = rng.randrange(len(text))
+            spans.append((rng.randrange(5), a, min(len(text), a + 1 + rng.randrange(rng.choice([2, 30, 1500])))))
+        rows.append((text, spans))
+
+    def plain(text, spans):
+        out, at = [], 0
+        for a, kind, b in sorted((a, k, b) for k, a, b in spans):
+            if a >= at:
+                out += [text[at:a], f"<{pii.ALL_KINDS[kind].upper()}>"]
+            at = max(at, b)
+        return "".join(out) + text[at:]
+
+    df = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate(rows)], "k int, text string, spans array<struct<kind: int, start: bigint, end: bigint>>")
+    got = {r.k: r.x for r in df.select("k", pii.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert got == {k: plain(t, s) for k, (t, s) in enumerate(rows)}
