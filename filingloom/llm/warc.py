@@ -17,6 +17,7 @@ two empty ones differ in none; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -82,23 +83,38 @@ def archive_index(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "file", seq.cast("long").alias("seq"), offset.cast("long").alias("offset"), "length", "digest")
 
 
+#: Bytes given to a gzip member at a time; what it leaves of them is all that is copied.
+PIECE = 1 << 14
+
+
 def _plain(raw: bytes) -> bytes:
     """The stream of a file: gzip members are unpacked one after the other, as far as they can be."""
     if not raw.startswith(_GZIP):
         return raw
-    out = []
-    while raw.startswith(_GZIP):
-        member = zlib.decompressobj(wbits=31)
+    out: list[bytes] = []
+    view, at = memoryview(raw), 0
+    while raw.startswith(_GZIP, at):
+        member, begin, own = zlib.decompressobj(wbits=31), at, []
         try:
-            out.append(member.decompress(raw))
+            while not member.eof and at < len(raw):
+                own.append(member.decompress(view[at : at + PIECE]))
+                at = min(at + PIECE, len(raw))
         except zlib.error:  # what a damaged member held is lost, its neighbours are not
-            at = raw.find(_GZIP, 1)
-            raw = raw[at:] if at > 0 else b""
+            at = raw.find(_GZIP, begin + 1)
+            if at < 0:
+                break
             continue
-        raw = member.unused_data
+        out += own
+        at -= len(member.unused_data)
     return b"".join(out)
 
 
+def _number(name: str) -> int:
+    """The last number in a file's name; the CRC-32 of a name without one."""
+    found = re.findall("[0-9]+", name)
+    return int(found[-1]) if found else zlib.crc32(name.encode())
+
+
 def _records(raw: bytes) -> Iterator[tuple[int, int]]:
     """(offset, end) of the records of a stream; a span that is no whole record is one of its own.
 
@@ -119,7 +135,7 @@ def _records(raw: bytes) -> Iterator[tuple[int, int]]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """file, seq, offset, length, digest of the records of WARC files, plain or of gzip members.
 
-    A file's number is the last one in its name. Offsets count in the unpacked
+    A file's number is the last one in its name, or the name's CRC-32 where it has none. Offsets count in the unpacked
     stream. A truncated or garbled record is a row with the length and digest of
     the bytes found, so an audit reports it; what follows it is read on.
     """
@@ -127,7 +143,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                number = int("".join(c if c.isdigit() else " " for c in name.rsplit("/", 1)[-1]).split()[-1])
+                number = _number(name.rsplit("/", 1)[-1])
                 raw = _plain(content)
                 rows = [{"file": number, "seq": n, "offset": at, "length": end - at, "digest": hashlib.sha256(raw[at:end]).hexdigest()} for n, (at, end) in enumerate(_records(raw))]
                 if rows:

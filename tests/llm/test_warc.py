@@ -89,3 +89,23 @@ def test_gzip_members(spark, tmp_path):
     bad = packed[2][:15] + b"\xff" * 4 + packed[2][19:]
     digests = {r[4] for r in _read(spark, tmp_path / "bad", b"".join([*packed[:2], bad, *packed[3:]]))}
     assert {w[4] for k, w in enumerate(whole) if k != 2} <= digests
+
+
+def test_many_gzip_members_and_a_name_without_number(spark, tmp_path):
+    """50,000 members take seconds, a damaged one loses itself only, and any file name will do."""
+    import gzip
+    import time
+
+    records = [f"WARC/1.0\r\nContent-Length: 5\r\n\r\n{k:05d}\r\n\r\n".encode() for k in range(50_000)]
+    members = [gzip.compress(r, 1) for r in records]
+    began = time.time()
+    assert warc._plain(b"".join(members)) == b"".join(records)
+    members[7] = members[7][:12] + bytes([255] * (len(members[7]) - 12))
+    assert warc._plain(b"".join(members)).count(b"WARC/1.0") >= 49_998
+    assert warc._plain(b"".join(members[:3])[:-4]).startswith(b"".join(records[:2]))
+    assert time.time() - began < 20
+    (tmp_path / "pages.warc").write_bytes(b"".join(records[:3]))
+    (tmp_path / "p-4.warc").write_bytes(b"".join(records[:2]))
+    import zlib
+
+    assert sorted((r.file, r.seq) for r in warc.read_archive(spark, str(tmp_path)).collect()) == sorted([(4, 0), (4, 1), *((zlib.crc32(b"pages.warc"), k) for k in range(3))])
