@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,7 +68,21 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folders(spark: SparkSession) -> list[str]:
+    """The folders of intermediate tables that this application has not deleted yet."""
+    return list(_ROOTS.get(spark.sparkContext.applicationId, []))
+
+
+def forget(spark: SparkSession, roots: Iterable[str]) -> None:
+    """Delete these folders; results that read them must have been written before."""
+    gone = set(roots)
+    held = _ROOTS.get(spark.sparkContext.applicationId, [])
+    _ROOTS[spark.sparkContext.applicationId] = [r for r in held if r not in gone]
+    for root in held:
+        if root in gone:
+            _delete(spark, root)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results must have been written before."""
-    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, root)
+    forget(spark, folders(spark))
