@@ -13,6 +13,8 @@ import test_jaccard_join  # noqa: E402
 import test_packing  # noqa: E402
 import test_pii  # noqa: E402
 
+from filingloom.llm import scratch  # noqa: E402
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 
 
@@ -73,3 +75,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontaminate", "mask_personal_data", "pack"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_next_stage_deletes_what_earlier_ones_kept(spark, tmp_path):
+    rows = _rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    scratch.clear(spark)
+    first = stages["jaccard_join"](spark, docs, str(tmp_path))
+    kept = first.count()
+    held = set(scratch.folders(spark))
+    assert held
+    # An unwritten result is what the next stage reads: nothing of it may go.
+    assert stages["decontaminate"](spark, first, str(tmp_path)).count() <= kept
+    assert first.count() == kept
+    first.write.parquet(str(tmp_path / "first"))
+    again = spark.read.parquet(str(tmp_path / "first"))
+    assert stages["decontaminate"](spark, again, str(tmp_path)).count() <= kept
+    assert not held & set(scratch.folders(spark))
