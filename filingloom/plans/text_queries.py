@@ -12,6 +12,7 @@ from filingloom.operators import filings as P
 from filingloom.operators import index as I
 from filingloom.operators import sections as S
 from filingloom.plans import adapters as A
+from filingloom.plans import section_sql as Q
 from filingloom.plans.filing_queries import earlier_manifest
 from filingloom.plans.registry import query
 from filingloom.session import stage
@@ -77,22 +78,22 @@ def split_statements_notes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("accession", F.length("t_statements").cast("long").alias("statements"), F.length("t_notes").cast("long").alias("notes"))
 
 
-@query()
+@query(Q.CONDENSED)
 def condense_risk_factors(spark: SparkSession, d: str) -> DataFrame:
     return S.condense_risk_factors(_texts(spark, d).select("accession", "text"), "text", "condensed").select("accession", "condensed")
 
 
-@query()
+@query(Q.BY_FORM + "'10-K'")
 def split_10k(spark: SparkSession, d: str) -> DataFrame:
     return S.split_10k(_texts(spark, d).filter("form = '10-K'"))
 
 
-@query()
+@query(Q.BY_FORM + "'10-Q'")
 def split_10q(spark: SparkSession, d: str) -> DataFrame:
     return S.split_10q(_texts(spark, d).filter("form = '10-Q'"))
 
 
-@query()
+@query(Q.BY_FORM + "'DEF 14A'")
 def split_proxy(spark: SparkSession, d: str) -> DataFrame:
     return S.split_proxy(_texts(spark, d).filter("form = 'DEF 14A'"))
 
@@ -110,18 +111,18 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return S.split_filings(_texts(spark, d))
 
 
-@query()
+@query(Q.ALL)
 def split_filings(spark: SparkSession, d: str) -> DataFrame:
     return _sections(spark, d)
 
 
-@query()
+@query(Q.DOCUMENTS)
 def write_section_documents(spark: SparkSession, d: str) -> DataFrame:
     """The text form of every section file."""
     return S.section_documents(_sections(spark, d), _texts(spark, d).select("ticker", "company"))
 
 
-@query()
+@query(Q.READ)
 def read_section_documents(spark: SparkSession, d: str) -> DataFrame:
     return S.read_section_documents(S.section_documents(_sections(spark, d)))
 
@@ -248,17 +249,17 @@ def refresh_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _results(sections, manifest=records, change=changes)
 
 
-@query()
+@query(Q.SUMMARY)
 def index_summary(spark: SparkSession, d: str) -> DataFrame:
     return I.index_summary(_sections(spark, d))
 
 
-@query()
+@query(Q.FILES)
 def index_files(spark: SparkSession, d: str) -> DataFrame:
     return I.index_files(_sections(spark, d))
 
 
-@query()
+@query(Q.NOTES)
 def notes_periods(spark: SparkSession, d: str) -> DataFrame:
     return I.notes_periods(_sections(spark, d))
 
