@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from filingloom.operators import index as I
 from filingloom.operators import sections as S
+from filingloom.operators.filings import PLAN_LIMITS
 from filingloom.plans.adapters import TEXTS
 
 
@@ -115,3 +117,22 @@ READ = f"WITH {SECTIONS} SELECT filename, chars, section, form, period_end, file
 SUMMARY = f"WITH {SECTIONS} SELECT ticker, count(*) AS files, sum(chars)::BIGINT AS chars, max(filed) AS newest, (sum(chars)::BIGINT // 4)::BIGINT AS tokens FROM sections GROUP BY ticker"
 FILES = f"WITH {SECTIONS} SELECT ticker, string_agg('| `' || filename || '` | ' || form || ' | ' || period_end || ' | ' || section || ' |', chr(10) ORDER BY filename) AS rows FROM sections GROUP BY ticker"
 NOTES = f"WITH {SECTIONS} SELECT ticker, coalesce(string_agg(form || ' ' || period_end, ', ' ORDER BY period_end, filename) FILTER (WHERE contains(section, 'Notes (all)')), 'none') AS notes_periods FROM sections GROUP BY ticker"
+
+
+def index_sql(as_of: str) -> str:
+    """The index page of every company of the texts, all of the full tier and without prior work."""
+    caps = I.LEFT_OUT.format(notes="{notes}", annual=PLAN_LIMITS["10-K"], quarterly=PLAN_LIMITS["10-Q"], proxy=PLAN_LIMITS["DEF 14A"], releases=PLAN_LIMITS["8-K"])
+    before, after = caps.split("{notes}")
+    covered = " || ".join(f"'- {label}: ' || coalesce(held_{k}, 0) || chr(10)" for k, (_, label) in enumerate(I.COVERED))
+    held = ", ".join(f"count(DISTINCT accession) FILTER (WHERE starts_with(form, '{kind}')) AS held_{k}" for k, (kind, _) in enumerate(I.COVERED))
+    return f"""WITH {SECTIONS},
+own AS (SELECT ticker, count(*) AS files, sum(chars)::BIGINT AS chars, max(filed) AS newest, {held},
+  string_agg('| `' || filename || '` | ' || form || ' | ' || period_end || ' | ' || section || ' |' || chr(10), '' ORDER BY filename) AS rows,
+  string_agg(form || ' ' || period_end, ', ' ORDER BY period_end, filename) FILTER (WHERE contains(section, 'Notes (all)')) AS notes FROM sections GROUP BY ticker),
+companies AS (SELECT 'T' || n AS ticker, 'Company ' || n AS company FROM filings_k)
+SELECT ticker, '# ' || ticker || ' - ' || company || {_said(f": corpus index{chr(10)}{chr(10)}{I.READ_FIRST}{chr(10)}{chr(10)}- **Tier:** full{chr(10)}- **As of:** built {as_of}; newest document dated ")} || coalesce(newest, 'unknown')
+  || chr(10) || '- Files: ' || coalesce(files, 0) || chr(10) || '- Total size: ' || format('{{:,}}', coalesce(chars, 0)) || ' characters (roughly ' || format('{{:,}}', coalesce(chars, 0) // 4) || ' tokens)'
+  || {_said(f"{chr(10)}{chr(10)}## Coverage{chr(10)}{chr(10)}")} || {covered} || {_said(f"{I.CALLS}{chr(10)}{chr(10)}## Files{chr(10)}{chr(10)}| File | Form | Period | Section |{chr(10)}| --- | --- | --- | --- |{chr(10)}")} || coalesce(rows, '')
+  || {_said(f"{chr(10)}## What was deliberately left out{chr(10)}{chr(10)}{before}")} || coalesce(notes, 'none') || {_said(f"{after}{chr(10)}")}
+  || {_said(f"{chr(10)}## Not included - use Quartr for these{chr(10)}{chr(10)}{I.ELSEWHERE}{chr(10)}{chr(10)}## Prior work in this folder{chr(10)}{chr(10)}{I.PRIOR}{chr(10)}- (none yet){chr(10)}")} AS document
+FROM companies LEFT JOIN own USING (ticker)"""

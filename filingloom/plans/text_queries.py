@@ -264,9 +264,10 @@ def notes_periods(spark: SparkSession, d: str) -> DataFrame:
     return I.notes_periods(_sections(spark, d))
 
 
-@query()
+@query(Q.index_sql(A.AS_OF))
 def index_document(spark: SparkSession, d: str) -> DataFrame:
     sections = _sections(spark, d)
     companies = _texts(spark, d).select("ticker", "company", F.lit("full").alias("tier"))
-    coverage = sections.groupBy("ticker", F.col("form").alias("kind")).agg(F.countDistinct("accession").alias("held"))
+    kind = F.when(F.col("form").startswith("8-K"), "8-K").otherwise(F.col("form"))  # a release's file names its item too
+    coverage = sections.groupBy("ticker", kind.alias("kind")).agg(F.countDistinct("accession").alias("held"))
     return I.index_document(companies, sections, coverage, A.AS_OF)
