@@ -27,8 +27,8 @@ FACTS_URL = "https://data.sec.gov/api/xbrl/companyfacts/CIK"
 
 
 def planned(profiles: DataFrame, filings: DataFrame, as_of: str, exhibits: DataFrame | None = None) -> DataFrame:
-    """Everything the profiles ask for, with role, company and, given exhibits, source_url."""
-    plan = filing_roles(plan_filings(profiles, filings, as_of)).join(profiles.select("cik", "company"), "cik")
+    """Everything the profiles ask for, with role, company and, given exhibits, source_url; ranked once and written."""
+    plan = stage(filing_roles(plan_filings(profiles, filings, as_of)).join(profiles.select("cik", "company"), "cik"), "plan")
     return plan if exhibits is None else resolve_sources(plan, exhibits)
 
 
@@ -40,6 +40,10 @@ def parse_filings(todo: DataFrame, documents: DataFrame) -> DataFrame:
     """
     if "source_url" not in todo.columns:
         todo = todo.withColumn("source_url", F.col("filing_url"))
+    # Dealt by the join's own key, so HTML moves no more often; with a fixed number of partitions, as
+    # Spark would merge them by the bytes of the plan, which say nothing of the work on its documents.
+    parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = todo.repartition(parts, "source_url" if "url" in documents.columns else "accession")
     met = attach_documents(todo, documents, "left").withColumn("content", F.sha2("html", 256))
     read = html_to_markdown(met)
     nothing = (F.col("kind") == "8-K") & F.col("source_url").isNull()
@@ -78,7 +82,8 @@ def financial_sections(profiles: DataFrame, facts: DataFrame) -> DataFrame:
 
 def build_corpus(profiles: DataFrame, filings: DataFrame, documents: DataFrame, as_of: str, exhibits: DataFrame | None = None, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sections, manifest, errors) of everything the profiles ask for, from nothing; given facts, statements are sections too."""
-    parsed = parse_filings(planned(profiles, filings, as_of, exhibits), documents)
+    plan = planned(profiles, filings, as_of, exhibits)
+    parsed = parse_filings(plan if exhibits is None else stage(plan, "sources"), documents)
     sections = sections_of(parsed)
     if facts is not None:
         sections = sections.unionByName(financial_sections(profiles, facts))
