@@ -94,3 +94,24 @@ def test_next_stage_deletes_what_earlier_ones_kept(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "first"))
     assert stages["decontaminate"](spark, again, str(tmp_path)).count() <= kept
     assert not held & set(scratch.folders(spark))
+
+
+def _write(spark, folder, rows, more=""):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *(f"'kept' AS {c}" for c in more.split()))
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+
+
+def test_no_documents_give_no_pieces(spark, tmp_path):
+    _write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_change_nothing(spark, tmp_path):
+    rows, got = _rows()[:20], {}
+    for name, more in [("plain", ""), ("clashing", "held_out lang_pred score component_id kept n_shingles tok words n_hit spans kind piece start length sequence_id offset chunk")]:
+        (tmp_path / name).mkdir()
+        _write(spark, tmp_path / name, rows, more)
+        got[name] = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect())
+    assert got["plain"] and got["plain"] == got["clashing"]
