@@ -37,3 +37,14 @@ def test_files_that_the_driver_renames(spark, tmp_path):
     R.write_named_files(rows.withColumn("value", F.when(F.col("name") != "a b/3/00-10.htm", F.lit("other text"))), path)
     got = {r.accession: r.html for r in R.read_filing_html(spark, f"{path}/a b/*").collect()}
     assert len(got) == 30 and got.pop("00-10") == "\n" and set(got.values()) == {"other text\n"}
+
+
+def test_few_tasks_list_prior_work(spark, tmp_path):
+    """20 files in each of 50 folders are listed, hidden ones not, by a few tasks."""
+    names = spark.range(1000).select(F.concat(F.lit("Models/"), F.floor(F.col("id") / 20).cast("string"), F.when(F.col("id") % 10 == 0, "/.").otherwise("/"), F.col("id").cast("string")).alias("name"), F.lit("x").alias("value"))
+    R.write_named_files(names, f"file://{tmp_path}/root")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    listed = R.list_prior_work(spark, f"file://{tmp_path}/root")
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{tmp_path}/root")
+    assert scan.rdd.getNumPartitions() <= 16
+    assert {r.path for r in listed.collect()} == {f"Models/{k // 20}/{k}" for k in range(1000) if k % 10}
