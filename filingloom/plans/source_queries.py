@@ -5,7 +5,7 @@ Every call writes to a fresh folder of the shared work folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.operators import manifest as M
@@ -20,10 +20,15 @@ from filingloom.streaming.refresh import refresh_stream
 COMPANIES = 100
 
 
-def _write_json(objects: DataFrame, cik: str, value, path: str) -> None:
-    """Files of a JSON array with the objects of some COMPANIES companies each."""
-    arrays = objects.groupBy(F.floor(F.col(cik) / COMPANIES)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(value)), ","), F.lit("]")).alias("value"))
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+def _batch() -> Column:
+    """The raw file that a company's object is in."""
+    return F.floor(F.col("cik") / COMPANIES)
+
+
+def _write_json(objects: DataFrame, value: Column, path: str) -> None:
+    """A packed file for each ``batch``: a JSON array with the objects of its companies."""
+    arrays = objects.groupBy("batch").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(value)), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path, compression="gzip")
 
 
 @query("SELECT upper('t' || c_custkey) AS ticker, c_custkey AS cik, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown Company' ELSE c_name END AS company FROM customer")
@@ -47,20 +52,25 @@ def read_submissions(spark: SparkSession, d: str) -> DataFrame:
     texts = F.struct("accession", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in columns.items()))
     batches = rows.groupBy("cik").agg(F.array_sort(F.collect_list(texts)).alias("f"))
     recent = F.struct(*(F.col(f"f.{n}").alias(n) for n in columns))
-    _write_json(batches, "cik", F.struct(F.col("cik").cast("string").alias("cik"), F.struct(recent.alias("recent")).alias("filings")), path)
+    _write_json(batches.withColumn("batch", _batch()), F.struct(F.col("cik").cast("string").alias("cik"), F.struct(recent.alias("recent")).alias("filings")), path)
     return R.read_submissions(spark, path)
 
 
 @query(f"""WITH {A.facts_sql()} SELECT cik, tag, unit, start, "end", val, filed, form, row_number() OVER (PARTITION BY cik, tag, unit ORDER BY ord, coalesce(val, -1), "end", form) - 1 AS ord
   FROM facts WHERE tag <> 'OtherAssets'""")
 def read_company_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Company files with a tag that is not asked for; an entry's place in its list follows the key, then the value, end and form."""
+    """Company files with a tag that is not asked for; an entry's place in its list follows the key, then the value, end and form.
+
+    Rows move once, narrow, to the task that writes their file; lists, units and tags are nested there.
+    """
     path = f"{work_folder(spark)}/facts"
-    entry = F.struct("ord", F.coalesce("val", F.lit(-1.0)).alias("tie"), *(F.col(c).cast("string").alias(n) for n, c in (("end", "end"), ("form", "form"), ("start", "start"), ("filed", "filed"))), "val")
-    lists = A.facts(spark, d).groupBy("cik", "tag", "unit").agg(F.array_sort(F.collect_list(entry)).alias("list"))
-    units = lists.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "list"))).alias("units"))
-    tags = units.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
-    _write_json(tags, "cik", F.struct(F.col("cik").cast("string").alias("cik"), F.struct(F.col("tags").alias("us-gaap")).alias("facts")), path)
+    rows = A.facts(spark, d).withColumn("batch", _batch()).repartition("batch")
+    entry = F.struct("ord", F.coalesce("val", F.lit(-1.0)).alias("tie"), "end", "form", "start", "filed", "val")
+    told = lambda x: F.struct(*(x[c].cast("string").alias(c) for c in ("end", "form", "start", "filed")), x["val"].alias("val"))
+    lists = rows.groupBy("batch", "cik", "tag", "unit").agg(F.transform(F.array_sort(F.collect_list(entry)), told).alias("list"))
+    units = lists.groupBy("batch", "cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "list"))).alias("units"))
+    tags = units.groupBy("batch", "cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
+    _write_json(tags, F.struct(F.col("cik").cast("string").alias("cik"), F.struct(F.col("tags").alias("us-gaap")).alias("facts")), path)
     return R.read_company_facts(spark, path, [t for t in A._tags() if t != "OtherAssets"])
 
 
